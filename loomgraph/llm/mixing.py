@@ -82,12 +82,12 @@ def deal(nodes: DataFrame, parent: list[str]) -> DataFrame:
     order = W.partitionBy(*by).orderBy(F.col("cap") / F.col("weight"), F.col("name"))
     before = order.rowsBetween(W.unboundedPreceding, -1)
     after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    # the level if exactly the siblings before this one were full; it holds for the first that doesn't fill up at it
+    # the level if exactly the siblings before this one were full: it rises until one does not fill up, then falls
     level = (F.col("amount") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     tried = nodes.withColumn("try", level)
     fits = F.when(F.col("try") * F.col("weight") < F.col("cap"), F.col("try"))
     return (
-        tried.withColumn("level", F.min(fits).over(W.partitionBy(*by)))
+        tried.withColumn("level", F.max(fits).over(W.partitionBy(*by)))
         .withColumn(
             "share",
             F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))),
