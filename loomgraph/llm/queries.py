@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import contamination, licenses, mixing, urls
+from loomgraph.llm import contamination, licenses, mixing, neardup, urls
 from loomgraph.llm.text import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.judged(contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -28,5 +33,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_decontamination, op8_url_filter, op9_license_scan, op10_mixing)
+    f.__name__: f for f in (op1_near_duplicates, op6_decontamination, op8_url_filter, op9_license_scan, op10_mixing)
 }
