@@ -5,7 +5,7 @@ around them. A pattern is a window of 13 consecutive words of a benchmark item,
 fewer words is one pattern. Patterns are sought by Wu and Manber's method:
 
 * all patterns of a group are seen through their first m bytes, m being the length of the shortest one;
-* the shift table tells for the hash of a block of B bytes how far the search may move on: the least distance of such
+* the shift table tells for the hash of a block of B bytes (up to 12, by the number of patterns) how far the search may move on: the least distance of such
   a block from byte m in any pattern, or m - B + 1 if there is none (hash collisions only make shifts shorter);
 * where the shift is 0, the hash of the block selects a bucket of patterns, and a direct comparison of all their
   bytes confirms each occurrence.
@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import mapped
+from loomgraph.llm.arrow import binary, mapped
 from loomgraph.llm.text import alnum_normal
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
 SHORT = 32
 STRIP = 2048
-TABLE_BITS = 18
+TABLE_BITS = 22
 
 
 def windows(normal: bytes, size: int = WINDOW) -> list[bytes]:
@@ -50,60 +50,70 @@ def windows(normal: bytes, size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(last + 1)]
 
 
+def eights(text: bytes) -> np.ndarray:
+    """The 8 bytes from each place on as a number; the text must go on for 7 bytes after the last place asked for."""
+    return np.ndarray((max(0, len(text) - 7),), "<u8", text, 0, (1,))
+
+
 class Group:
     """Shift table and buckets of patterns of at least ``m`` bytes."""
 
     def __init__(self, patterns: list[bytes], numbers: list[int]):
         self.m = m = min(map(len, patterns))
-        self.block = block = min(4 if len(patterns) > 50_000 else 3, m)
-        heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(len(patterns), m)
-        self.shift = np.full(1 << TABLE_BITS, m - block + 1, np.int64)
+        # blocks so long that few of them are in any pattern: about two bits a byte in natural text
+        self.block = block = min(m, 6 if len(patterns) < 100 else 8 if len(patterns) < 2000 else 12)
+        self.mask = np.uint64((1 << (8 * min(block, 8))) - 1)
+        heads = b"".join(p[:m] for p in patterns)
+        words, rows = eights(heads + b"\0" * 8), np.arange(len(patterns)) * m
+        self.shift = np.full(1 << TABLE_BITS, min(m - block + 1, 255), np.uint8)
         for end in range(block, m + 1):  # later blocks have the shorter shift and are written last
-            hashes = self.hash([heads[:, end - block + i] for i in range(block)])
-            self.shift[hashes] = m - end
+            if m - end < 255:
+                hashes = self.hash(words, rows + end)
+                self.shift[hashes] = m - end
         order = np.argsort(hashes, kind="stable")  # by the block that ends at m
         self.patterns = [patterns[i] for i in order]
         self.numbers = [numbers[i] for i in order]
-        self.starts = np.searchsorted(hashes[order], np.arange((1 << TABLE_BITS) + 1)).astype(np.int32)
-        first = np.zeros((len(patterns), 8), np.uint8)
-        first[:, : min(8, m)] = heads[order][:, :8]
-        self.first = first.view(np.uint64).ravel()
-        self.mask = np.frombuffer((b"\xff" * min(8, m)).ljust(8, b"\0"), np.uint64)[0]
-
-    @staticmethod
-    def hash(columns: list[np.ndarray]) -> np.ndarray:
-        h = np.zeros(columns[0].shape, np.uint32)
-        for c in columns:
-            h = h * np.uint32(0x9E3779B1) + c
-        return ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
+        self.keys, self.starts = np.unique(hashes[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+        self.first_mask = np.uint64((1 << (8 * min(m, 8))) - 1)
+        self.first = (words[rows] & self.first_mask)[order]
+
+    def hash(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the blocks that end at the given places."""
+        h = (words[end - self.block] & self.mask) * np.uint64(0x9E3779B97F4A7C15)
+        if self.block > 8:
+            h = (h ^ words[end - 8]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return h >> np.uint64(64 - TABLE_BITS)
 
     def find(self, text: bytes) -> tuple[list[int], list[int]]:
         """Starts of all occurrences, and the numbers of their patterns."""
         if len(text) < self.m:
             return [], []
-        data = np.frombuffer(text + b"\0" * 8, np.uint8)
+        words = eights(text + b"\0" * 8)
         at = np.arange(self.m, len(text) + 1, STRIP)  # a cursor is the end of the m bytes that it looks at
         stop = np.minimum(at + STRIP, len(text) + 1)
         starts, found = [], []
         while at.size:
-            hashes = self.hash([data[at - self.block + i] for i in range(self.block)])
+            hashes = self.hash(words, at)
             step = self.shift[hashes]
             here = np.flatnonzero(step == 0)
             if here.size:
-                self.confirm(text, data, at[here] - self.m, hashes[here], starts, found)
+                self.confirm(text, words, at[here] - self.m, hashes[here], starts, found)
             at = at + np.maximum(step, 1)
             going = at < stop
-            at, stop = at[going], stop[going]
+            if not going.all():
+                at, stop = at[going], stop[going]
         return starts, found
 
-    def confirm(self, text: bytes, data: np.ndarray, begin: np.ndarray, hashes: np.ndarray, starts: list, found: list) -> None:
-        low, n = self.starts[hashes], self.starts[hashes + 1] - self.starts[hashes]
+    def confirm(self, text: bytes, words: np.ndarray, begin: np.ndarray, hashes: np.ndarray, starts: list, found: list) -> None:
+        key = np.searchsorted(self.keys, hashes)
+        key[key == self.keys.size] = 0
+        real = self.keys[key] == hashes
+        begin, key = begin[real], key[real]
+        low, n = self.starts[key], self.ends[key] - self.starts[key]
         place = np.repeat(begin, n)
         which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        head = np.zeros(place.size, np.uint64)
-        for i in range(8):
-            head |= data[place + i].astype(np.uint64) << np.uint64(8 * i)
-        same = (head & self.mask) == self.first[which]
+        same = (words[place] & self.first_mask) == self.first[which]
         for s, w in zip(place[same].tolist(), which[same].tolist(), strict=True):
             if text.startswith(self.patterns[w], s):
                 starts.append(s)
@@ -140,7 +150,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
     held, size = [], 0
     rows = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator()
     for item, text in rows:
-        normal = alnum_normal(text)
+        normal = alnum_normal((text or "").encode())
         if held and size + len(normal) > limit:
             yield held
             held, size = [], 0
@@ -167,7 +177,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
 
 def searching(searcher, last: bool):
     def work(batch: pa.RecordBatch) -> dict:
-        normals = [alnum_normal(t) for t in batch.column("text").to_pylist()]
+        normals = [alnum_normal(t) for t in binary(batch.column("text"))]
         spans, items = find_all(searcher.value, normals, batch.column("spans").to_pylist(), batch.column("items").to_pylist())
         out = {"doc_id": batch.column("doc_id"), "spans": spans, "items": items}
         if last:

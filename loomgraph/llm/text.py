@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +28,6 @@ def alnum_words(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def alnum_normal(text: str | None) -> bytes:
-    """The same words as UTF-8, joined by single spaces."""
-    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_ALNUM).split()) if text else b""
-
-
-def blank_words(text: str | None) -> list[bytes]:
-    """Lower-cases A-Z and parts words at ``[\\x20\\x09-\\x0D]+``; bytes.lower and bytes.split know ASCII only."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-LETTER = re.compile(r"[^\W\d_]")
+def alnum_normal(text: bytes) -> bytes:
+    """The same words of a UTF-8 text, joined by single spaces."""
+    return b" ".join(text.translate(_ALNUM).split())
