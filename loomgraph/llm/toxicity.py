@@ -1,11 +1,11 @@
 """Toxicity: class-conditional Kneser-Ney models of symbol 5-grams.
 
 Texts become sequences of 32 symbols: letters (A-Z in lower case), a space for white space, classes for digits and
-other marks, and for non-ASCII letters the last bits of their code. For each class, toxic and ordinary,
-``P(s | 4 symbols) = max(n - D, 0) / N + D * T / N * shared(s | 3 symbols)``, with the class's own counts n, context
-totals N and follower types T. The shared distribution backs off by Kneser-Ney continuation counts through orders 4
-to 1; those are counted over all documents, labelled or not, so an expression that neither class holds gets the same
-probability from both.
+other marks, and for non-ASCII letters the last bits of their code. For each class, toxic and ordinary, and with its
+5-gram counts n, context totals N and follower types T, ``P(s | 4 symbols) = max(n - D, 0) / N + D * T / N *
+P(s | 3 symbols)``. Orders 4 and 3 are the same of the class's Kneser-Ney continuation counts; they back off to orders
+2 and 1, which both classes share: continuation counts over all documents, labelled or not. So neither class gains by
+symbols that are merely rare.
 
 The log-likelihood ratio of a 5-gram is one entry of a table of 2**25 bytes (0.1 a step), whatever the corpus; it is
 broadcast. A document's ratios are compared per symbol, over the whole text and over its words; a logistic layer
@@ -35,6 +35,8 @@ ORDER, SYMBOL_BITS = 5, 5
 SYMBOLS = 1 << SYMBOL_BITS
 GRAMS = 1 << (ORDER * SYMBOL_BITS)
 DISCOUNT = 0.75
+#: Orders up to this one are counted over all documents and shared by the classes.
+SHARED = 2
 STEP = 0.1
 CALIBRATION = 6000
 BROADCAST_LABELS = 500_000
@@ -112,44 +114,45 @@ def counted(docs: DataFrame) -> Stage:
     return Stage(sums, "grams")
 
 
-def shared_probabilities(gram: np.ndarray) -> np.ndarray:
-    """Kneser-Ney P(last symbol | symbols before) of all ORDER - 1 grams, from the distinct 5-grams of the corpus."""
-    prob = np.full(1, 1.0)
-    levels = []
-    kinds = gram.astype(np.int64)
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer grams that end so
-        suffix = kinds & ((1 << (order * SYMBOL_BITS)) - 1)
-        levels.append((order, np.bincount(suffix, minlength=1 << (order * SYMBOL_BITS)).astype(np.float64)))
-        kinds = np.unique(suffix)
-    prob = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order, count in reversed(levels):
-        count = count.reshape(-1, SYMBOLS)
-        total, types = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-        lower = prob.reshape(-1, SYMBOLS) if order > 1 else prob.reshape(1, SYMBOLS)
-        lower = np.tile(lower, (max(1, len(count) // len(lower)), 1))  # context less its first symbol
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.maximum(count - DISCOUNT, 0) / total + DISCOUNT * types / total * lower
-        prob = np.where(total > 0, own, lower).ravel()
-    return prob
+def backed_off(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """P(last symbol | symbols before) of all grams of an order, from their counts and the next lower order."""
+    count = count.astype(np.float64).reshape(-1, SYMBOLS)
+    total, types = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
+    lower = lower.reshape(-1, SYMBOLS)
+    lower = np.tile(lower, (max(1, len(count) // len(lower)), 1))  # the context without its first symbol
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.maximum(count - DISCOUNT, 0) / total + DISCOUNT * types / total * lower
+    return np.where(total > 0, own, lower).ravel()
+
+
+def continuations(gram: np.ndarray, order: int) -> np.ndarray:
+    """For all grams of an order, the number of different symbols before them in the distinct longer ``gram``."""
+    longer = np.unique(gram & ((1 << ((order + 1) * SYMBOL_BITS)) - 1))
+    return np.bincount(longer & ((1 << (order * SYMBOL_BITS)) - 1), minlength=1 << (order * SYMBOL_BITS))
 
 
 def ratio_table(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Log-likelihood ratios toxic to ordinary of all 5-grams, in steps of STEP (int8)."""
-    shared = shared_probabilities(gram)
-    context, suffix = gram >> SYMBOL_BITS, gram & ((1 << ((ORDER - 1) * SYMBOL_BITS)) - 1)
-    size = GRAMS >> SYMBOL_BITS
-    own, rest = [], []
-    for n in (ordinary.astype(np.float64), toxic.astype(np.float64)):
-        total = np.bincount(context, weights=n, minlength=size)
-        types = np.bincount(context[n > 0], minlength=size)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(total > 0, DISCOUNT * types / total, 1.0)
-            p = np.where(total[context] > 0, np.maximum(n - DISCOUNT, 0) / total[context], 0.0) + back[context] * shared[suffix]
-        own.append(p)
-        rest.append(back)
-    steps = lambda p, q: np.clip(np.rint(np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)) / STEP), -127, 127).astype(np.int8)
-    table = np.repeat(steps(rest[1], rest[0]), SYMBOLS)  # a 5-gram that neither class holds: the shared part cancels out
-    table[gram] = steps(own[1], own[0])
+    shared = np.full(SYMBOLS, 1 / SYMBOLS)
+    for order in range(1, SHARED + 1):
+        shared = backed_off(continuations(gram, order), shared)
+    lower = []
+    for n in (ordinary, toxic):
+        prob = shared
+        for order in range(SHARED + 1, ORDER):
+            prob = backed_off(continuations(gram[n > 0], order), prob)
+        lower.append(prob)
+    table = np.empty(GRAMS, np.int8)
+    size = GRAMS // SYMBOLS
+    for first in range(SYMBOLS):  # by first symbol, so that no probabilities of all 5-grams are held
+        here = gram // size == first
+        at = gram[here] % size
+        logs = []
+        for n, prob in zip((ordinary, toxic), lower, strict=True):
+            count = np.zeros(size)
+            count[at] = n[here]
+            logs.append(np.log(np.maximum(backed_off(count, prob), 1e-12)))
+        table[first * size : (first + 1) * size] = np.clip(np.rint((logs[1] - logs[0]) / STEP), -127, 127)
     return table
 
 
