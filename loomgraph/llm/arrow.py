@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch: what a Python worker holds at once doesn't depend on how long texts are.
 BATCH_BYTES = 8 << 20
@@ -30,17 +32,18 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in pc.cast(column, pa.binary()).to_pylist()]
 
 
-def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str, columns: Sequence[str]) -> DataFrame:
+def as_array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, columns: Sequence[str]) -> DataFrame:
     """``df`` through ``work``, batch by batch: it gets ``columns`` and returns a column dict (or None)."""
     bounded_batches(df.sparkSession)
-    names = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(names)
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)

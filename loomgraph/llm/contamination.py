@@ -29,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm.arrow import binary, mapped
 from loomgraph.llm.text import alnum_normal
@@ -166,7 +167,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     ``spans`` are the hit runs of words as (first, count), flat; ``items`` the ids of items with occurring windows.
     """
     context = docs.sparkSession.sparkContext
-    found = docs.select("doc_id", "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    found = docs.select("doc_id", "text", *empty())
     searchers = [context.broadcast(Searcher(b, size)) for b in blocks(benchmark, block_bytes)] or [context.broadcast(Searcher([]))]
     for k, searcher in enumerate(searchers):
         last = k == len(searchers) - 1
@@ -175,11 +176,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     return found
 
 
-def searching(searcher, last: bool):
+def searching(searcher, last: bool, carried: str = "doc_id"):
     def work(batch: pa.RecordBatch) -> dict:
         normals = [alnum_normal(t) for t in binary(batch.column("text"))]
         spans, items = find_all(searcher.value, normals, batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-        out = {"doc_id": batch.column("doc_id"), "spans": spans, "items": items}
+        out = {carried: batch.column(carried), "spans": spans, "items": items}
         if last:
             out["n_words"] = [n.count(b" ") + 1 if n else 0 for n in normals]
         else:
@@ -222,11 +223,19 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def empty() -> tuple[Column, Column]:
+    return F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items")
+
+
+def hit_words() -> Column:
+    """Words in ``spans``: the sum of every second number."""
+    lengths = F.filter("spans", lambda _, i: i % 2 == 1)
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def judged(found: DataFrame) -> DataFrame:
     """:func:`scan`'s rows with n_hit, n_items, items_sha256 and contaminated (a twentieth of the words is hit)."""
-    counts = F.transform(F.filter(F.sequence(F.lit(0), F.size("spans")), lambda i: (i % 2 == 1) & (i < F.size("spans"))), lambda i: F.get("spans", i))
-    n_hit = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.withColumn("n_hit", n_hit).select(
+    return found.withColumn("n_hit", hit_words()).select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -234,3 +243,20 @@ def judged(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that aren't contaminated."""
+    context, fields = docs.sparkSession.sparkContext, docs.schema.names
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), *empty())
+    searchers = [context.broadcast(Searcher(b)) for b in blocks(benchmark)]
+    for k, searcher in enumerate(searchers):
+        last = k == len(searchers) - 1
+        schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
+        schema = schema.add("n_words", "long") if last else schema.add("text", "string")
+        schema = schema.add("spans", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
+        rows = mapped(rows, searching(searcher, last, "row"), schema, ["text", "row", "spans", "items"])
+    if not searchers:
+        return docs
+    n_hit = hit_words()
+    return rows.filter(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select("row.*")

@@ -5,7 +5,8 @@ inside, hashed into 2**13 buckets. A document is the mean of its subwords' embed
 give the languages' probabilities. Embeddings and weights are trained together, by minibatch gradient descent, on a
 bounded sample of labelled rows: at most ``PER_LANGUAGE`` of each of the ``LANGUAGES`` most frequent languages, drawn
 by a hash of doc_id. A fifth of the sample is kept for calibration: a temperature that minimises its log loss, and
-the score below which a prediction is rejected (``REJECT`` of the correct calibration rows are below it).
+the score below which a prediction is rejected: ``REJECT`` of the correct calibration rows are below it, but it is
+no more than ``REJECT_AT_MOST``, where a calibrated score says that the language is rather right than wrong.
 
 Mean and linear layer are both linear, so prediction needs only the product of embeddings and weights, one row per
 bucket: that table (2**13 x languages) is broadcast.
@@ -17,6 +18,7 @@ repeated rows give repeated results; further columns are ignored; empty tables g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import binary, mapped
+from loomgraph.llm.arrow import binary, bounded_batches, mapped
 
 BITS, DIMENSIONS = 13, 16
 BUCKETS = 1 << BITS
 PER_LANGUAGE, LANGUAGES = 600, 256
-REJECT = 0.001
+REJECT, REJECT_AT_MOST = 0.001, 0.5
 UND = "und"
 
 _SPACED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -112,7 +114,7 @@ def train(shares: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     t = min(losses, key=losses.get)
     p = softmax(logits / t)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    reject = float(np.quantile(right, REJECT)) if right.size else 0.0
+    reject = min(REJECT_AT_MOST, float(np.quantile(right, REJECT))) if right.size else 0.0
     return Model(languages, (table / t).astype(np.float32), (bias / t).astype(np.float32), reject)
 
 
@@ -153,22 +155,41 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     return train(shares, labels, languages)
 
 
+def judged(model: Model | None, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text of a batch."""
+    n = batch.num_rows
+    if model is None:
+        return [UND] * n, np.zeros(n), np.ones(n, bool)
+    letters = np.array([has_letter(t) for t in batch.column("text").to_pylist()])
+    texts = binary(batch.column("text"))
+    best, score = np.zeros(n, int), np.zeros(n)
+    for i in range(0, n, 256):
+        p = model.probabilities(subword_counts(texts[i : i + 256]))
+        best[i : i + 256], score[i : i + 256] = p.argmax(axis=1), p.max(axis=1)
+    score = np.where(letters, np.clip(score, 0, 1), 0.0)
+    names = [model.languages[b] if has else UND for b, has in zip(best, letters, strict=True)]
+    return names, score, ~letters | (score < model.reject_below)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, lang_pred, score, rejected."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict:
-        m, n = held.value, batch.num_rows
-        letters = [has_letter(t) for t in batch.column("text").to_pylist()]
-        if m is None:
-            return {"doc_id": batch.column("doc_id"), "lang_pred": [UND] * n, "score": [0.0] * n, "rejected": [True] * n}
-        texts = binary(batch.column("text"))
-        best, score = np.zeros(n, int), np.zeros(n)
-        for i in range(0, n, 256):
-            p = m.probabilities(subword_counts(texts[i : i + 256]))
-            best[i : i + 256], score[i : i + 256] = p.argmax(axis=1), p.max(axis=1)
-        names = [m.languages[b] if has else UND for b, has in zip(best, letters, strict=True)]
-        score = np.where(letters, np.clip(score, 0, 1), 0.0)
-        return {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": score, "rejected": ~np.array(letters) | (score < m.reject_below)}
+        names, score, rejected = judged(held.value, batch)
+        return {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": score, "rejected": rejected}
 
     return mapped(docs, work, "doc_id long, lang_pred string, score double, rejected boolean", ["doc_id", "text"])
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose prediction isn't rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(~judged(held.value, batch)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

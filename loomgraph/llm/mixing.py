@@ -16,7 +16,7 @@ leaf is never sorted in one task.
 
 Cases: null texts have 0 tokens and are taken with any prefix that reaches them; null languages and sources are leaves
 of their own, named ``none``; null doc_ids sort as the empty string; repeated rows are taken each by itself; further
-columns are carried by :func:`select`'s join-free path only if asked for; an empty table gives an empty result.
+columns are ignored by :func:`select` and carried by :func:`mixed`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,32 +126,59 @@ def select(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Columns: doc_id, domain, lang, source (``none`` for null), n_tokens, quota (its leaf's), epochs.
     """
-    light = docs.select(
+    light = Stage(with_leaves(docs), "mix-tokens").df
+    return take(light, plan(light, mix), mix).select("doc_id", *LEVELS, "n_tokens", "quota", "epochs")
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The rows of ``docs`` (all columns, and ``epoch`` from 0), each as many times as it is taken.
+
+    Texts aren't shuffled: each row is compared with its leaf's bound where it is read.
+    """
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.schema.names]).alias("row"))
+    leaved = plan(Stage(with_leaves(docs), "mix-tokens").df, mix)
+    taken = take(with_leaves(rows, "row"), leaved, mix)
+    epoch = F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("mix_epoch")
+    return taken.select("row.*", epoch)
+
+
+def with_leaves(docs: DataFrame, *carried: str) -> DataFrame:
+    return docs.select(
         "doc_id",
         F.coalesce(domain_of(F.col("source")), F.lit("web")).alias("domain"),
         F.coalesce("lang", F.lit("none")).alias("lang"),
         F.coalesce("source", F.lit("none")).alias("source"),
         token_count(F.col("text")).alias("n_tokens"),
+        *carried,
     )
-    return take(Stage(light, "mix-tokens").df, mix)
 
 
-def take(light: DataFrame, mix: Mix) -> DataFrame:
-    """:func:`select` for a table that has domain and n_tokens already."""
-    leaf = list(LEVELS)
-    supplies = light.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply"))
-    budget = Stage(quotas(supplies, mix), "mix-quotas").df
-    dealt = budget.withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("quota") / F.col("supply"))).otherwise(0).cast("int"))
-    dealt = dealt.withColumn("rest", F.col("quota") - F.col("whole") * F.col("supply"))
+@dataclass(frozen=True)
+class Leaves:
+    """What a document needs to know of its leaf: quota, whole epochs, rest, edge_bucket and tokens before it."""
 
-    def with_leaf(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-        return docs.join(F.broadcast(leaves) if small else leaves, leaf)
+    table: DataFrame
+    few: bool
 
-    small = dealt.count() <= BROADCAST_LEAVES
-    keyed = with_leaf(light, dealt.select(*leaf, "quota", "whole", "rest"))
-    keyed = keyed.withColumn("key", key_of(mix, F.col("whole")))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("tokens"))
+    def join(self, docs: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(self.table) if self.few else self.table, list(LEVELS))
+
+
+def keyed(docs: DataFrame, mix: Mix) -> DataFrame:
+    with_key = docs.withColumn("key", key_of(mix, F.col("whole")))
+    return with_key.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+
+
+def plan(light: DataFrame, mix: Mix) -> Leaves:
+    """Quotas, and where each leaf's token-prefix ends; ``light`` has doc_id, the leaf's names and n_tokens."""
+    leaf = list(LEVELS)
+    supplies = Stage(light.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply")), "mix-supplies").df
+    budget = Stage(quotas(supplies, mix), "mix-quotas").df
+    whole = F.when(F.col("supply") > 0, F.floor(F.col("quota") / F.col("supply"))).otherwise(0).cast("int")
+    dealt = budget.withColumn("whole", whole).withColumn("rest", F.col("quota") - F.col("whole") * F.col("supply"))
+    few = dealt.count() <= BROADCAST_LEAVES
+    sums = keyed(Leaves(dealt, few).join(light), mix).groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("tokens"))
+    # at most 16**BUCKET_DIGITS rows a leaf
     upto = F.sum("tokens").over(W.partitionBy(*leaf).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
     # the first bucket that doesn't fit whole; what fits before it
     edge = (
@@ -161,15 +188,19 @@ def take(light: DataFrame, mix: Mix) -> DataFrame:
         .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("edge"))
         .select(*leaf, F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("before"))
     )
-    edge = dealt.select(*leaf).join(edge, leaf, "left")
-    placed = with_leaf(keyed, Stage(edge, "mix-edges").df)
-    out = ["doc_id", *leaf, "n_tokens", "quota", "epochs"]
+    return Leaves(Stage(dealt.join(edge, leaf, "left"), "mix-leaves").df, few)
+
+
+def take(docs: DataFrame, leaves: Leaves, mix: Mix) -> DataFrame:
+    """``docs`` (as ``plan`` needs it, and further columns) with quota and ``epochs`` >= 1; the rest goes."""
+    placed = keyed(leaves.join(docs), mix)
+    out = [*docs.columns, "quota", "epochs"]
     # documents in buckets below the edge are in the prefix, those above only in whole epochs
-    clear = placed.filter("edge_bucket is null or bucket <> edge_bucket").withColumn(
-        "epochs", F.col("whole") + F.when(F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket")), 1).otherwise(0)
-    )
+    below = F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket"))
+    clear = placed.filter("edge_bucket is null or bucket <> edge_bucket")
+    clear = clear.withColumn("epochs", F.col("whole") + F.when(below, 1).otherwise(0))
     running = F.sum("n_tokens").over(
-        W.partitionBy(*leaf).orderBy("key", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy(*LEVELS).orderBy("key", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     at_edge = placed.filter("bucket = edge_bucket").withColumn("running", F.col("before") + running)
     at_edge = at_edge.withColumn("epochs", F.col("whole") + F.when(F.col("running") <= F.col("rest"), 1).otherwise(0))

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm.arrow import binary, bounded_batches, mapped
 from loomgraph.storage import Stage
@@ -424,3 +425,26 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("binary").alias("kept"),
     )
     return touched.unionByName(rest)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` (all columns) without the repeated bytes; texts of which nothing is left go, n_chars follows the text.
+
+    Where a cut would split a character, the rest of that character goes too.
+    """
+    fields = docs.schema.names
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"))
+    found = spans(named(rows.select("doc_id", "text")))
+    ids = found.df.select("id", "tag")
+    texts = named(rows)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        pairs = zip(binary(batch.column("text")), batch.column("spans").to_pylist(), strict=True)
+        return {"row": batch.column("row"), "left": [keep(t, s)[0].decode("utf-8", "ignore") for t, s in pairs]}
+
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("left", T.StringType())])
+    touched = mapped(only(texts, ids).join(found.df, ["id", "tag"]), work, schema, ["text", "spans", "row"]).filter("left <> ''")
+    values = {"text": F.col("left"), "n_chars": F.length("left")}
+    types = dict(docs.dtypes)
+    new = touched.select(*[(values[c].cast(types[c]) if c in values else F.col(f"row.`{c}`")).alias(c) for c in fields])
+    return new.unionByName(only(texts, ids, "left_anti").select("row.*"))
