@@ -6,10 +6,12 @@ hashes; with fewer words, the whole sequence is one. Two documents are linked if
 1. Documents with equal sets form a class; only its member with the smallest doc_id goes on, so a large group of
    copies is one row from here on.
 2. 128 MinHash values in 32 bands of 4: a pair at the threshold shares no band with probability 6e-11.
-3. Candidates. Each band bucket links its members to the smallest one (a star, not all pairs). Then, as long as a
-   bucket holds members of different components, members are paired across components: first with at most 16
-   members of each component, in the end with all. Pairs within one component are never needed. The work is thus
-   bucket size times members outside the bucket's largest component, not the square of the bucket.
+3. Documents that share a bucket with another are candidates. Far copies of one template share buckets by thousands
+   without being linked, so pairs are drawn up from the candidates' rarest shingles: by global frequency, with length
+   and positional filters, which lose no linked pair (see :func:`prefixes`). Each shingle links its holders to the
+   smallest one (a star, not all pairs). Then, where holders are in different components, they are paired across
+   components: first with at most 16 holders of each component, in the end with all. Pairs within one component are
+   never needed. Pairs without a common band are dropped.
 4. Odd sketches: the 128 (place, MinHash) samples are folded into 512 parity bits. The population count of the XOR of
    two sketches estimates how many samples differ, hence the similarity. Pairs estimated below the threshold by more
    than six standard deviations are dropped; all others are confirmed on their full sets.
@@ -142,13 +144,14 @@ def signature(batch: pa.RecordBatch) -> dict:
 
 
 def full_sets(batch: pa.RecordBatch) -> dict:
-    return {"id": batch.column("doc_id"), "shingles": [s.view(np.int64) for s in shingle_sets(binary(batch.column("text")))]}
+    sets = shingle_sets(binary(batch.column("text")))
+    return {"id": batch.column("doc_id"), "n": [s.size for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
 
 def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose doc_id is (or, left_anti, isn't) among ``ids`` (doc_id): broadcast if their count is small."""
+    """Rows of ``df`` whose key is (or, left_anti, isn't) in ``ids`` (that one column): broadcast if their count is small."""
     few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return df.join(F.broadcast(ids) if few else ids, ids.columns[0], how)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -169,11 +172,35 @@ def most_bits(percent: int = PERCENT) -> int:
     return int(min(BITS, odd + 6 * (odd * (1 - odd / BITS)) ** 0.5))
 
 
+def least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """Least intersection of sets of these sizes at the threshold."""
+    return F.ceil(percent * (a + b) / F.lit(100 + percent) - 1e-9)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, place): the places, in the order of frequency, of the shingles that linked sets must share one of.
+
+    Shingles are ordered by the number of sets that hold them, rarest first, then by value. Linked sets share one
+    among the first ``n - ceil(n * percent / 100) + 1`` of each. Shingles that one set holds only have places, but no
+    rows: they link nothing. Edits make rare shingles, so far copies of one template don't meet here.
+    """
+    rows = sets.select("id", "n", F.explode("shingles").alias("token"))
+    shared = Stage(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "shared-shingles")
+    per_set = rows.join(shared.df, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("own"))
+    length = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100) - 1e-9) + 1
+    alone = F.col("n") - F.size("own")
+    first = F.slice("own", 1, F.greatest(F.lit(0), length - alone).cast("int"))
+    return per_set.select("id", "n", alone.alias("alone"), F.posexplode(first).alias("at", "t")).select(
+        F.col("t.token").alias("token"), "id", "n", (F.col("alone") + F.col("at")).alias("place")
+    )
+
+
 class Candidates:
     """Confirms candidate pairs of class representatives; keeps what was confirmed."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
-        self.docs, self.reps, self.percent = docs, reps, percent
+    def __init__(self, sets: DataFrame, reps: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.signs = reps.select(F.col("doc_id").alias("id"), "sketch", "bands")
         self.links: list[Stage] = []
         self.tried: list[Stage] = []
 
@@ -182,27 +209,23 @@ class Candidates:
         fresh = pairs.distinct()
         for t in self.tried:
             fresh = fresh.join(t.df, ["a", "b"], "left_anti")
-        sketch = self.reps.select(F.col("doc_id").alias("id"), "sketch", "n_shingles")
-        size = Stage(fresh, "pairs")
-        self.tried.append(size)
-        left = size.df.join(sketch.withColumnsRenamed({"id": "a", "sketch": "sa", "n_shingles": "na"}), "a")
-        both = left.join(sketch.withColumnsRenamed({"id": "b", "sketch": "sb", "n_shingles": "nb"}), "b")
-        # sets whose sizes alone rule the threshold out aren't compared either
-        possible = both.filter(
-            (differing(F.col("sa"), F.col("sb")) <= most_bits(self.percent))
-            & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+        now = Stage(fresh, "pairs")
+        self.tried.append(now)
+        ids = Stage(now.df.select(F.col("a").alias("id")).union(now.df.select("b")).distinct(), "pair-ids")
+        signs = only(self.signs, ids.df)
+        both = now.df.join(signs.withColumnsRenamed({"id": "a", "sketch": "sa", "bands": "ba"}), "a").join(
+            signs.withColumnsRenamed({"id": "b", "sketch": "sb", "bands": "bb"}), "b"
         )
-        likely = Stage(possible.select("a", "b"), "likely")
-        ids = likely.df.select(F.col("a").alias("doc_id")).union(likely.df.select("b")).distinct()
-        named = Stage(ids, "likely-ids")
-        sets = Stage(mapped(only(self.docs, named.df), full_sets, "id long, shingles array<long>", ["doc_id", "text"]), "sets")
-        a = sets.df.withColumnsRenamed({"id": "a", "shingles": "xa"})
-        b = sets.df.withColumnsRenamed({"id": "b", "shingles": "xb"})
+        banded = both.filter(F.arrays_overlap("ba", "bb"))
+        likely = Stage(banded.filter(differing(F.col("sa"), F.col("sb")) <= most_bits(self.percent)).select("a", "b"), "likely")
+        sets = only(self.sets, ids.df)
+        a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
+        b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
         met = likely.df.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("xa", "xb")))
         linked = met.filter(100 * F.col("both") >= self.percent * (F.size("xa") + F.size("xb") - F.col("both")))
         self.links.append(Stage(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links"))
-        for s in (likely, named, sets):
-            s.drop()
+        likely.drop()
+        ids.drop()
 
     def components(self) -> DataFrame:
         links = self.links[0].df
@@ -219,32 +242,33 @@ def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = Stage(mapped(docs, signature, SIGNATURE, ["doc_id", "text"]), "signatures")
     full = signed.df.filter("n_shingles > 0 and doc_id is not null")
     classes = Stage(full.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = full.join(
-        classes.df.select(F.col("class_id").alias("doc_id"), "hi", "lo", "n_shingles"), ["doc_id", "hi", "lo", "n_shingles"], "left_semi"
-    ).dropDuplicates(["doc_id", "hi", "lo"])
-    member = Stage(
-        reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket")).select("id", "band", "bucket"),
-        "bands",
-    )
-    shared = Stage(
-        member.df.groupBy("band", "bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last"),
-        "buckets",
-    )
+    same = ["doc_id", "hi", "lo", "n_shingles"]
+    once = lambda df, key: df if unique else df.dropDuplicates([key])
+    unique = full.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    reps = once(full.join(classes.df.withColumnRenamed("class_id", "doc_id"), same, "left_semi"), "doc_id")
+    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    shared = Stage(banded.groupBy("bucket").agg(F.min("id").alias("l"), F.max("id").alias("m")).filter("l <> m").select("bucket"), "buckets")
+    candidates = Stage(banded.join(shared.df, "bucket", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "candidates")
+    shared.drop()
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    found = Candidates(texts, reps, percent)
-    crowded = Stage(member.df.join(shared.df.select("band", "bucket", "first"), ["band", "bucket"]), "members")
-    member.drop()
-    found.confirm(crowded.df.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    found_sets = mapped(only(texts, candidates.df), full_sets, "id long, n int, shingles array<long>", ["doc_id", "text"])
+    sets = Stage(once(found_sets, "id"), "sets")
+    members = Stage(prefixes(sets.df, percent), "prefixes")
+    pivots = members.df.groupBy("token").agg(F.min(F.struct("id", "n", "place")).alias("p"))
+    pivots = Stage(pivots.select("token", F.col("p.id").alias("rep"), F.col("p.n").alias("rn"), F.col("p.place").alias("rplace")), "pivots")
+    found = Candidates(sets.df, reps, percent)
+    found.confirm(paired(members.df, pivots.df, F.col("id") != F.col("rep"), percent))
+    pivots.drop()
     labels = Stage(found.components(), "components")
     for most in (16, None):
-        mixed = mixed_members(crowded.df, labels.df)
-        pairs = Stage(across(mixed.df, most), "across")
+        mixed = mixed_members(members.df, labels.df)
+        pairs = Stage(across(mixed.df, most, percent), "across")
         if not pairs.df.isEmpty():
             found.confirm(pairs.df)
             labels = Stage(found.components(), "components")
         mixed.drop()
         pairs.drop()
-    for s in (crowded, shared, *found.links, *found.tried):
+    for s in (candidates, sets, members, *found.links, *found.tried):
         s.drop()
     by_class = signed.df.select("doc_id", "n_shingles", "hi", "lo").join(classes.df, ["hi", "lo", "n_shingles"], "left")
     joined = by_class.join(labels.df.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
@@ -258,29 +282,53 @@ def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def paired(members: DataFrame, offered: DataFrame, more: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (token, id, n, place) and offered (token, rep, rn, rplace) that may be linked.
+
+    If the token is the first that both share, what follows it in either bounds the intersection; of linked sets, the
+    token that is the first passes.
+    """
+    least = least_overlap(F.col("n"), F.col("rn"), percent)
+    sized = 100 * F.least("n", "rn") >= percent * F.greatest("n", "rn")
+    placed = (F.col("n") - F.col("place") >= least) & (F.col("rn") - F.col("rplace") >= least)
+    o = offered.withColumnRenamed("token", "otoken")
+    met = members.join(o, (F.col("token") == F.col("otoken")) & more & sized & placed)
+    return met.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+
+
 def mixed_members(members: DataFrame, labels: DataFrame) -> Stage:
-    """Members, with labels, of the buckets that hold more than one component."""
-    named = members.join(labels, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("label"))
+    """Members, with labels, of the tokens that more than one component holds."""
+    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     held = Stage(named, "labelled")
-    mixed = held.df.groupBy("band", "bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m")
-    out = Stage(held.df.join(Stage(mixed, "mixed").df.select("band", "bucket"), ["band", "bucket"], "left_semi"), "mixed-members")
+    mixed = Stage(held.df.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m"), "mixed")
+    out = Stage(held.df.join(mixed.df.select("token"), "token", "left_semi"), "mixed-members")
     held.drop()
+    mixed.drop()
     return out
 
 
-def across(members: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of a bucket's members with different labels.
+def across(members: DataFrame, most: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) with different labels of a token's members.
 
-    With ``most``, each label of a bucket offers at most so many members, the smallest of each residue class of a
-    hash; else all members, except that those of the bucket's largest label aren't paired from their side again.
+    With ``most``, each label offers at most so many of a token's members, the smallest of each residue class of a
+    hash; else all members, except that those of the token's largest label aren't paired from their side again.
     """
-    key = ["band", "bucket"]
     if most:
-        offered = members.groupBy(*key, "label", F.pmod(F.hash("id"), F.lit(most))).agg(F.min("id").alias("rep"))
+        chosen = members.groupBy("token", "label", F.pmod(F.hash("id"), F.lit(most))).agg(F.min(F.struct("id", "n", "place")).alias("p"))
+        offered = chosen.select("token", "label", F.col("p.id").alias("rep"), F.col("p.n").alias("rn"), F.col("p.place").alias("rplace"))
     else:
-        sizes = members.groupBy(*key, "label").count()
-        largest = sizes.groupBy(*key).agg(F.max(F.struct("count", "label")).alias("top")).select(*key, "top.label")
-        offered = members.join(largest, [*key, "label"], "left_anti").withColumnRenamed("id", "rep")
-    offered = offered.select(*key, F.col("label").alias("own"), "rep")
-    met = members.join(offered, key).filter("label <> own")
-    return met.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+        sizes = members.groupBy("token", "label").count()
+        largest = sizes.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", "top.label")
+        offered = members.join(largest, ["token", "label"], "left_anti").withColumnsRenamed({"id": "rep", "n": "rn", "place": "rplace"})
+    offered = offered.withColumnRenamed("label", "own")
+    return paired(members, offered, F.col("label") != F.col("own"), percent)
+
+
+def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (all columns) that are the first of their component; rows without doc_id stay."""
+    dropped = Stage(find(docs, percent).filter("doc_id is not null and not kept").select("doc_id").distinct(), "dropped")
+    rows = only(docs, dropped.df, "left_anti")
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    # repeated rows: one of them stays
+    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
