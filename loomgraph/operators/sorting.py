@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.storage import Stage
+
 
 def range_sorted(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
     """Sorted ranges: partition r holds the r-th range, in order. Equal keys share a partition."""
@@ -27,9 +30,8 @@ def positions(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
 
     Rows are dealt by range; a partition's rows count on from the sum of those before it (one number a partition).
     """
-    from pyspark.sql import Window as W
-
-    dealt = rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id())
+    # written once: a second evaluation might sample other bounds
+    dealt = Stage(rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranges").df
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     upto = sizes.select(
         "__part", (F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))).alias("__before")
@@ -43,6 +45,6 @@ def positions(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
     )
 
 
-def sorted_list(column: str):
+def sorted_list(column: str | Column) -> Column:
     """An array column in ascending order."""
     return F.sort_array(column)
