@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What text output shows for an unreachable vertex: the largest finite single-precision number.
 UNREACHABLE = 3.4028234663852886e38
+UNREACHABLE_TEXT = "340282346638528859811704183484516925440.000000"
 
 
 def owner(vertex: Column, parts: int) -> Column:
@@ -26,8 +27,8 @@ def deviation(old: Column, new: Column) -> Column:
 
 def path_text(source: int, vertex: Column, distance: Column) -> Column:
     """``path_len(source, vertex):distance`` with the sentinel for unreachable vertices."""
-    shown = F.coalesce(distance, F.lit(UNREACHABLE))
-    return F.format_string(f"path_len({source}, %d):%.6f", vertex, shown)
+    shown = F.when(distance.isNull(), F.lit(UNREACHABLE_TEXT)).otherwise(F.format_string("%.6f", distance))
+    return F.concat(F.format_string(f"path_len({source}, %d):", vertex), shown)
 
 
 def common_above(a: Column, b: Column, floor: Column) -> Column:

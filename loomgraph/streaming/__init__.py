@@ -1,0 +1 @@
+"""Nothing here: the engine's only state is the vertices' between supersteps, kept by :mod:`loomgraph.plans`."""
