@@ -3,9 +3,9 @@
 Suffix arrays find the repeated strings. So that the strings that have to be compared meet in one shard, and those that
 can't repeat never do, texts are cut by content first:
 
-1. Every 400-byte window has an anchor: the 16-byte gram with the least hash in it (the first of equal ones). Equal
+1. Every 400-byte window has an anchor: the 64-byte gram with the least hash in it (the first of equal ones). Equal
    windows have equal anchors. Consecutive windows with the same anchor place form a run; the bytes of a run are its
-   context, at most 784 bytes. Runs whose anchor gram occurs once in the corpus hold no repeated window and go.
+   context, at most 736 bytes. Runs whose anchor gram occurs once in the corpus hold no repeated window and go.
 2. Equal contexts are held once, with their number; a context that occurs twice repeats in all its windows.
 3. Contexts are dealt by anchor gram to shards of less than 2**21 bytes. Each shard gets a suffix array by Larsson and
    Sadakane's refinement in numpy: order by 8 bytes, then groups of equal prefixes are ordered by the rank of what
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from loomgraph.llm.arrow import binary, bounded_batches, mapped
 from loomgraph.storage import Stage
 
-LENGTH, GRAM = 400, 16
+LENGTH, GRAM = 400, 64
 #: A shard holds fewer than 2**PLACE_BITS bytes, so that two ranks and a place fit 64 bits.
 PLACE_BITS = 21
 #: More contexts than this with one key are parted further (their bytes might not fit a shard).
@@ -49,12 +49,14 @@ NO_ID = -(1 << 63)
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the GRAM bytes from each place on."""
+    """Hashes of the GRAM bytes (a multiple of 16) from each place on."""
     n = len(data) - GRAM + 1
-    low = np.ndarray((n,), "<u8", data, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
-    high = np.ndarray((n,), "<u8", data, 8, (1,)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = low ^ (low >> np.uint64(29)) ^ high ^ (high >> np.uint64(32))
-    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h = np.zeros(n, np.uint64)
+    for at in range(0, GRAM, 16):
+        h ^= np.ndarray((n,), "<u8", data, at, (1,)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h ^= np.ndarray((n,), "<u8", data, at + 8, (1,)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(31))
 
 
@@ -107,15 +109,15 @@ def occurrences(batch: pa.RecordBatch) -> dict:
 # ---- suffix arrays -------------------------------------------------------------------------------------------------
 
 
-def suffix_array(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of all places of ``data`` (uint8, less than 2**PLACE_BITS) by their next ``depth`` bytes, ties by place.
 
-    Also the rank of each place in that order.
+    Also the rank of each place in that order, and whether its ``depth`` bytes are another place's too, as ranks tell.
     """
     n = data.size
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
     words = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)  # ties are ordered by the rounds below
     sorted_words = words[order]
     head = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # a group is named by its first rank
@@ -144,11 +146,15 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
         done += step
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    return order, rank
+    tied = np.empty(n, bool)
+    tied[order] = ~(head & np.concatenate([head[1:], [True]]))
+    return order, rank, tied
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """For each place, the bytes (at most ``depth``) that it shares with the place before it in the order.
+def common_prefixes(
+    data: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int = LENGTH, among: np.ndarray | None = None
+) -> np.ndarray:
+    """For each place (or those ``among`` marks; 0 elsewhere), the bytes, at most ``depth``, shared with the place before it.
 
     Kasai's rule: if i shares l bytes with j before it, then i + d shares l - d with j + d, and, if j + d is before
     i + d in the order, at least as many with the place just before i + d.
@@ -166,6 +172,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, depth
         stride //= 2
     for places, d in levels:
         places = places[before[places] >= 0]
+        if among is not None:
+            places = places[among[places]]
         least = np.zeros(places.size, np.int64)
         if d:
             shifted = before[places - d] + d
@@ -196,8 +204,8 @@ def repeated(contexts: list[bytes], counts: list[int], depth: int = LENGTH) -> l
     starts_window = np.zeros(data.size, bool)
     for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
         starts_window[s : e - depth + 1] = True
-    order, rank = suffix_array(data, depth)
-    shared = common_prefixes(data, order, rank, depth)
+    order, rank, tied = suffix_array(data, depth)
+    shared = common_prefixes(data, order, rank, depth, tied)
     run = np.cumsum(shared[order] < depth) - 1 if data.size else np.zeros(0, np.int64)
     valid = starts_window[order]
     number = np.bincount(run[valid], minlength=(run[-1] + 1) if run.size else 0)
