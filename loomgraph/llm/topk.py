@@ -173,7 +173,8 @@ def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def matrix_of(column: pa.ListArray, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(n, flat.size // n if n else 0)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
