@@ -72,8 +72,8 @@ def read_edge_list(spark: SparkSession, path: str, auto_one_based: bool = True,
 
 def edge_lines(graph: Graph) -> DataFrame:
     """The graph as text lines in one column, ``part`` 0 holding the header and 1 the edges."""
-    numbers = graph.vertices.agg(F.max("id").alias("v")).crossJoin(graph.edges.agg(F.count("*").alias("e")))  # one row each
-    head = numbers.select(F.lit(0).alias("part"), F.concat_ws("\n", F.col("v").cast("string"), F.col("e").cast("string")).alias("value"))
+    n_vertices = graph.vertices.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    head = graph.spark.createDataFrame([(0, f"{n_vertices}\n{graph.edges.count()}")], "part int, value string")
     body = graph.edges.select(F.lit(1).alias("part"), F.concat_ws(" ", "src", "dst").alias("value"))
     return head.unionByName(body)
 

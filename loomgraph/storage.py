@@ -58,9 +58,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def clean() -> None:
+    """Removes all that is still there; results that read it can't be computed any more."""
+    while _written:
         try:
-            _delete(spark, path)
+            _delete(*_written.pop())
         except Exception:  # the session is gone: the folder's owner removes the rest
             return
