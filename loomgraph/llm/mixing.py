@@ -21,6 +21,7 @@ columns are ignored by :func:`select` and carried by :func:`mixed`; an empty tab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -99,18 +100,13 @@ def deal(nodes: DataFrame, parent: list[str]) -> DataFrame:
 def quotas(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Adds ``quota`` (tokens, whole) to the leaf table (domain, lang, source, supply)."""
     capped = leaves.withColumn("cap", F.col("supply").cast("double") * mix.max_epochs)
-    amount = capped.agg(
-        F.floor(F.coalesce(F.sum("supply"), F.lit(0)).cast("double") * mix.budget_share).cast("double").alias("amount")
-    )
-    dealt = amount
+    total = leaves.agg(F.coalesce(F.sum("supply"), F.lit(0)).cast("double")).first()[0]
+    budget, dealt = F.lit(math.floor(total * mix.budget_share)).cast("double"), None
     for depth, level in enumerate(LEVELS):
         parent, own = list(LEVELS[:depth]), list(LEVELS[: depth + 1])
         nodes = capped.groupBy(*own).agg(F.sum("cap").alias("cap")).withColumn("weight", weight_of(level, mix))
         nodes = nodes.withColumn("name", F.col(level))
-        if parent:
-            nodes = nodes.join(dealt, parent)
-        else:
-            nodes = nodes.crossJoin(F.broadcast(dealt))  # one row: the budget
+        nodes = nodes.withColumn("amount", budget) if dealt is None else nodes.join(dealt, parent)
         dealt = deal(nodes, parent).select(*own, F.col("share").alias("amount"))
     return leaves.join(dealt, list(LEVELS)).withColumn("quota", F.floor(F.col("amount") + 1e-6).cast("long")).drop("amount")
 
