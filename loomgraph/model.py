@@ -95,9 +95,9 @@ class Graph:
         return v.join(e, "part", "left").select("part", "n_vertices", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
 
     def partitioned(self, parts: int | None = None) -> Graph:
-        """Edges dealt by source and held (memory, then disk), so that supersteps shuffle vertices and messages only."""
+        """Edges dealt and sorted by source and held (memory, then disk): supersteps shuffle vertices and messages only."""
         n = parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return Graph(self.vertices, self.edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK))
+        return Graph(self.vertices, self.edges.repartition(n, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK))
 
     def release(self) -> None:
         self.edges.unpersist()
