@@ -11,8 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch: what a Python worker holds at once doesn't depend on how long texts are.
-BATCH_BYTES = 8 << 20
-ROWS = 4096
+BATCH_BYTES = 2 << 20
+ROWS = 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ from loomgraph.llm.arrow import binary, bounded_batches, mapped
 
 BITS, DIMENSIONS = 13, 16
 BUCKETS = 1 << BITS
-PER_LANGUAGE, LANGUAGES = 600, 256
+PER_LANGUAGE, LANGUAGES = 500, 256
 REJECT, REJECT_AT_MOST = 0.001, 0.5
 UND = "und"
 
@@ -152,6 +152,8 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     for k, i in enumerate(taken):
         shares[k, rows.column("at")[i].as_py()] = rows.column("share")[i].as_py()
     labels = np.array([languages.index(langs[i]) for i in taken])
+    del rows
+    pa.default_memory_pool().release_unused()
     return train(shares, labels, languages)
 
 

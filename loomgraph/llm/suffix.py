@@ -7,7 +7,7 @@ can't repeat never do, texts are cut by content first:
    windows have equal anchors. Consecutive windows with the same anchor place form a run; the bytes of a run are its
    context, at most 736 bytes. Runs whose anchor gram occurs once in the corpus hold no repeated window and go.
 2. Equal contexts are held once, with their number; a context that occurs twice repeats in all its windows.
-3. Contexts are dealt by anchor gram to shards of less than 2**21 bytes. Each shard gets a suffix array by Larsson and
+3. Contexts are dealt by anchor gram to shards of less than 2**20 bytes. Each shard gets a suffix array by Larsson and
    Sadakane's refinement in numpy: order by 8 bytes, then groups of equal prefixes are ordered by the rank of what
    follows, 16, 32, ... up to 400 bytes; groups of one are done. Kasai's rule gives common prefixes (capped at 400) of
    neighbours: with a stride that is halved, the prefix of place i bounds that of i + d from below. Runs of neighbours
@@ -38,9 +38,9 @@ from loomgraph.storage import Stage
 
 LENGTH, GRAM = 400, 64
 #: A shard holds fewer than 2**PLACE_BITS bytes, so that two ranks and a place fit 64 bits.
-PLACE_BITS = 21
+PLACE_BITS = 20
 #: More contexts than this with one key are parted further (their bytes might not fit a shard).
-SHARD_CONTEXTS = 2000
+SHARD_CONTEXTS = 1200
 BROADCAST_IDS = 500_000
 NO_ID = -(1 << 63)
 
@@ -265,60 +265,68 @@ def judge_shards(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, VERDICT)
 
 
-def part(row_low: int, row_high: int):
-    """Function that parts contexts whose windows lie ``row_low`` to ``row_high`` bytes before the anchor into halves."""
-    middle = (row_low + row_high) // 2
+CONTEXT = ["key", "hi", "lo", "total", "offset", "low", "high", "bytes"]
+PARTED = (
+    "pkey long, phi long, plo long, first int, key long, hi long, lo long, total long, offset int, low int, high int, bytes binary"
+)
+
+
+def part(batch: pa.RecordBatch) -> dict:
+    """Contexts (CONTEXT), whose windows lie ``low`` to ``high`` bytes before the anchor, parted into halves."""
+    out: dict[str, list] = {c.split()[0]: [] for c in PARTED.split(", ")}
+    for key, hi, lo, total, offset, low, high, data in zip(*(batch.column(c).to_pylist() for c in CONTEXT), strict=True):
+        n, middle = len(data) - LENGTH + 1, (low + high) // 2
+        for least, most in ((low, middle), (middle + 1, high)):
+            # window t of the context lies offset - t bytes before the anchor
+            first, last = max(0, offset - most), min(n - 1, offset - least)
+            if first > last:
+                continue
+            core = data[offset - least : offset - most + LENGTH]
+            own = data[first : last + LENGTH]
+            child = digest(core, least)[0]
+            a, b = digest(own, offset - first)
+            values = (key, hi, lo, first, child, a, b, total, offset - first, least, most, own)
+            for name, v in zip(out, values, strict=True):
+                out[name].append(v)
+    return out
 
-    def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c.split()[0]: [] for c in PARTED.split(", ")}
-        columns = ("key", "hi", "lo", "total", "offset", "bytes")
-        for key, hi, lo, total, offset, data in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            n = len(data) - LENGTH + 1
-            for low, high in ((row_low, middle), (middle + 1, row_high)):
-                # window t of the context lies offset - t bytes before the anchor
-                first, last = max(0, offset - high), min(n - 1, offset - low)
-                if first > last:
-                    continue
-                core = data[offset - low : offset - high + LENGTH]
-                own = data[first : last + LENGTH]
-                child = digest(core, low)[0]
-                a, b = digest(own, offset - first)
-                values = (key, hi, lo, first, child, a, b, total, offset - first, own)
-                for name, v in zip(out, values, strict=True):
-                    out[name].append(v)
-        return out
-
-    return work
-
-
-PARTED = "pkey long, phi long, plo long, first int, key long, hi long, lo long, total long, offset int, bytes binary"
-
-
-def resolve(contexts: DataFrame, low: int = 0, high: int = LENGTH - GRAM, most: int = SHARD_CONTEXTS) -> DataFrame:
-    """Verdicts on distinct contexts (key, hi, lo, total, offset, bytes), however many a key has."""
-    numbers = Stage(contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum("total").alias("all")), "keys")
-    again = numbers.df.filter("all >= 2")
-    few = contexts.join(again.filter(F.col("contexts") <= most).select("key"), "key", "left_semi")
-    hot = again.filter(F.col("contexts") > most).select("key")
-    if hot.isEmpty() or low == high:
-        # at low == high the key is a hash of the whole window: contexts with one key are one
-        return judge_shards(contexts.join(again.select("key"), "key", "left_semi") if low == high else few)
-    columns = ["key", "hi", "lo", "total", "offset", "bytes"]
-    halves = Stage(mapped(contexts.join(hot, "key", "left_semi"), part(low, high), PARTED, columns), "halves")
-    middle = (low + high) // 2
-    verdicts = judge_shards(few)
-    sides = []
-    for lower, upper in ((low, middle), (middle + 1, high)):
-        # the offset tells the side: a half's windows lie lower to upper bytes before the anchor
-        side = halves.df.filter((F.col("offset") >= lower) & (F.col("offset") <= upper))
-        distinct = side.groupBy("key", "hi", "lo").agg(
-            F.sum("total").alias("total"), F.first("offset").alias("offset"), F.first("bytes").alias("bytes")
-        )
-        judged = resolve(Stage(distinct, "parted").df, lower, upper, most)
-        back = side.join(judged, ["key", "hi", "lo"])
-        sides.append(back.select("pkey", "phi", "plo", F.transform("spans", lambda x: x + F.col("first")).alias("spans")))
-    both = sides[0].unionByName(sides[1]).groupBy("pkey", "phi", "plo").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return verdicts.unionByName(both.select(F.col("pkey").alias("key"), F.col("phi").alias("hi"), F.col("plo").alias("lo"), "spans"))
+
+def resolve(contexts: DataFrame, most: int | None = None) -> DataFrame:
+    """Verdicts on distinct contexts (CONTEXT), however many a key has: a loop of at most nine rounds.
+
+    A round judges the keys whose contexts fit a shard and parts the others. Keys of a single window have one context,
+    so the loop ends. Verdicts then go back from the last round's halves to the first round's contexts.
+    """
+    most = most or SHARD_CONTEXTS
+    judged: list[Stage] = []
+    halves: list[Stage] = []
+    while True:
+        numbers = Stage(contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.sum("total").alias("all")), "keys")
+        again = numbers.df.filter("all >= 2")
+        # a key with one context that occurs twice: all its windows repeat
+        alone = contexts.join(again.filter("contexts = 1").select("key"), "key", "left_semi")
+        alone = alone.select("key", "hi", "lo", F.array(F.lit(0), (F.length("bytes") - LENGTH + 1)).alias("spans"))
+        few = contexts.join(again.filter(f"contexts between 2 and {most}").select("key"), "key", "left_semi")
+        judged.append(Stage(alone.unionByName(judge_shards(few)), "judged"))
+        hot = again.filter(F.col("contexts") > most).select("key")
+        if hot.isEmpty():
+            numbers.drop()
+            break
+        halves.append(Stage(mapped(contexts.join(hot, "key", "left_semi"), part, PARTED, CONTEXT), "halves"))
+        numbers.drop()
+        firsts = [F.first(c).alias(c) for c in ("offset", "low", "high", "bytes")]
+        distinct = halves[-1].df.groupBy("key", "hi", "lo").agg(F.sum("total").alias("total"), *firsts)
+        contexts = Stage(distinct, "parted").df
+    verdicts = judged.pop().df
+    while halves:
+        side = halves.pop()
+        back = side.df.join(verdicts, ["key", "hi", "lo"])
+        shifted = back.select("pkey", "phi", "plo", F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
+        both = shifted.groupBy("pkey", "phi", "plo").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # two halves
+        parents = both.select(F.col("pkey").alias("key"), F.col("phi").alias("hi"), F.col("plo").alias("lo"), "spans")
+        verdicts = Stage(judged.pop().df.unionByName(parents), "verdicts").df
+        side.drop()
+    return verdicts
 
 
 # ---- the operator --------------------------------------------------------------------------------------------------
@@ -358,7 +366,7 @@ def spans(texts: DataFrame) -> Stage:
     )
     some_texts = only(texts, wanted.df.select("id", "tag"))
     contexts = Stage(
-        mapped(some_texts.join(wanted.df, ["id", "tag"]), cut, "key long, hi long, lo long, total long, offset int, bytes binary", ["text", "own"]),
+        mapped(some_texts.join(wanted.df, ["id", "tag"]), cut, CUT, ["text", "own"]),
         "context-bytes",
     )
     wanted.drop()
@@ -371,12 +379,17 @@ def spans(texts: DataFrame) -> Stage:
     return out
 
 
+CUT = "key long, hi long, lo long, total long, offset int, low int, high int, bytes binary"
+
+
 def cut(batch: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {c: [] for c in ("key", "hi", "lo", "total", "offset", "bytes")}
+    out: dict[str, list] = {c: [] for c in CONTEXT}
     for text, own in zip(binary(batch.column("text")), batch.column("own").to_pylist(), strict=True):
         for r in own:
             for c in ("key", "hi", "lo", "total", "offset"):
                 out[c].append(r[c])
+            out["low"].append(0)
+            out["high"].append(LENGTH - GRAM)
             out["bytes"].append(text[r["at"] : r["at"] + r["n"] + LENGTH - 1])
     return out
 

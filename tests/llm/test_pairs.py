@@ -199,7 +199,6 @@ def test_suffix_dedup_against_brute_force(spark, seed, most, monkeypatch):
     """With ``most`` small, keys are parted across shards again and again."""
     rows = passages(seed)
     monkeypatch.setattr(suffix, "SHARD_CONTEXTS", most)
-    monkeypatch.setattr(suffix.resolve, "__defaults__", (0, suffix.LENGTH - suffix.GRAM, most))
     found = suffix.dedup(docs(spark, [row(*r) for r in rows]))
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == brute_removed(rows)
 
