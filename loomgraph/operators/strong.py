@@ -21,8 +21,7 @@ def strong_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
     """
     edges = Stage(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "scc-edges")
     found: list[DataFrame] = []
-    ends = edges.df.select(F.col("src").alias("id")).union(edges.df.select("dst")).distinct()
-    bare = graph.vertices.join(ends, "id", "left_anti").select("id", F.col("id").alias("component"))
+    bare = graph.vertices.join(ends(edges.df), "id", "left_anti").select("id", F.col("id").alias("component"))
     found.append(Stage(bare, "scc-found").df)
     for _ in range(max_rounds):
         edges, alone = trimmed(edges)
@@ -36,10 +35,8 @@ def strong_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
         gone = members.df.select("id")
         rest = without(edges.df, gone)
         # vertices that lost all their edges are components of their own, unless they are found
-        before = edges.df.select(F.col("src").alias("id")).union(edges.df.select("dst")).distinct()
         after = Stage(rest, "scc-edges")
-        kept = after.df.select(F.col("src").alias("id")).union(after.df.select("dst")).distinct()
-        bare = before.join(gone, "id", "left_anti").join(kept, "id", "left_anti")
+        bare = ends(edges.df).join(gone, "id", "left_anti").join(ends(after.df), "id", "left_anti")
         found.append(Stage(bare.select("id", F.col("id").alias("component")), "scc-found").df)
         for s in (edges, colours, members):
             s.drop()
@@ -55,28 +52,32 @@ def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+
+
 def trimmed(edges: Stage) -> tuple[Stage, list[DataFrame]]:
-    """Edges among vertices that have some in and some out, and the vertices that went."""
+    """Edges among vertices that have some in and some out, and the vertices that went; two steps in one job."""
     alone = []
     while True:
-        out, into = edges.df.select(F.col("src").alias("id")).distinct(), edges.df.select(F.col("dst").alias("id")).distinct()
-        gone = Stage(out.join(into, "id", "left_anti").union(into.join(out, "id", "left_anti")), "scc-trimmed")
-        if gone.df.isEmpty():
-            gone.drop()
+        now = edges.df
+        for _ in range(2):
+            inner = now.select(F.col("src").alias("id")).distinct().join(now.select(F.col("dst").alias("id")), "id", "left_semi")
+            now = now.join(inner.withColumnRenamed("id", "src"), "src", "left_semi")
+            now = now.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+        rest = Stage(now, "scc-edges")
+        if rest.df.count() == edges.df.count():
+            rest.drop()
             return edges, alone
-        rest = Stage(without(edges.df, gone.df), "scc-edges")
-        ends = rest.df.select(F.col("src").alias("id")).union(rest.df.select("dst")).distinct()
-        bare = out.union(into).distinct().join(ends, "id", "left_anti")
+        bare = ends(edges.df).join(ends(rest.df), "id", "left_anti")
         alone.append(Stage(bare.select("id", F.col("id").alias("component")), "scc-found").df)
         edges.drop()
-        gone.drop()
         edges = rest
 
 
 def coloured(edges: DataFrame) -> Stage:
     """(id, colour): the largest id that reaches each vertex."""
-    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    held = Stage(ids.select("id", F.col("id").alias("colour")), "scc-colours")
+    held = Stage(ends(edges).select("id", F.col("id").alias("colour")), "scc-colours")
     while True:
         now = held.df.withColumn("was", F.col("colour"))
         for _ in range(HOPS):
