@@ -135,6 +135,8 @@ def sql() -> dict[str, str]:
         "A4_matrix_product": f"{sp} select a.src as i, b.dst as j, sum(round(100 * a.weight)::bigint * round(100 * b.weight)::bigint)::bigint as value from e a join e b on a.dst = b.src group by 1, 2",
         "A5_breadth_first": f"{levels(SPARSE, SOURCE)} select id, distance::bigint as level from d",
         "A6_connected_components": f"with recursive {SPARSE}, {VERTICES}, u as materialized (select src, dst from e union select dst, src from e), {CLOSURE.format(to='u.dst', edges='u', on='u.src = reach.b')} select a as id, min(b) as component from reach group by a",
+        # an edge is in the forest unless lighter edges connect its ends
+        "A7_spanning_forest": f"with recursive {SPARSE}, u as materialized (select *, row_number() over (order by weight, src, dst) as k from (select least(src, dst) as src, greatest(src, dst) as dst, min(weight) as weight from e group by 1, 2)), b as materialized (select src, dst, k from u union all select dst, src, k from u), reach(k, id) as (select k, src from u union select reach.k, b.dst from reach join b on b.src = reach.id and b.k < reach.k) select count(*) as n_edges, round(sum(weight), 2) as weight from u where (k, dst) not in (select k, id from reach)",
         "A8_strong_components": f"with recursive {SPARSE}, {VERTICES}, {CLOSURE.format(to='e.dst', edges='e', on='e.src = reach.b')} select x.a as id, min(x.b) as component from reach x join reach y on x.a = y.b and x.b = y.a group by x.a",
         "A9_kmeans": kmeans(),
         "O1_sample_sort": "select v, min(position) as first, max(position) as last from (select o_custkey as v, row_number() over (order by o_custkey) as position from orders) group by v",
