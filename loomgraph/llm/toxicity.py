@@ -1,4 +1,4 @@
-"""Toxicity: class-conditional Kneser-Ney models of symbol 5-grams.
+"""Toxicity: class-conditional Kneser-Ney models of symbol 5-grams and of words by their beginnings.
 
 Texts become sequences of 32 symbols: letters (A-Z in lower case), a space for white space, classes for digits and
 other marks, and for non-ASCII letters the last bits of their code. For each class, toxic and ordinary, and with its
@@ -8,8 +8,16 @@ P(s | 3 symbols)``. Orders 4 and 3 are the same of the class's Kneser-Ney contin
 symbols that are merely rare.
 
 The log-likelihood ratio of a 5-gram is one entry of a table of 2**25 bytes (0.1 a step), whatever the corpus; it is
-broadcast. A document's ratios are compared per symbol, over the whole text and over its words; a logistic layer
-turns the mean of the text and the highest word sums and word means into a score. It is fitted on labelled rows that
+broadcast. 5-grams fold non-ASCII letters and see less than two syllables; the second model does neither. It takes the
+distinct words of a document (runs of ASCII letters, digits and all non-ASCII letters, in lower case; where scripts
+set no spaces, up to four characters from each character on) as paths: their first 3, 6, 9 and 12 bytes, then the
+whole word. With the numbers n, N of words that reach a piece and its parent in a class, T of its parent's children
+there, and those of all documents, ``P(piece | parent) = max(n - D, 0) / N + D * T / N * n_all / N_all``. The counts of
+all documents, labelled or not, are a table that grows with the corpus; the ratios of the pieces in labelled rows are
+broadcast if they are few, by count, and joined by shuffle if not.
+
+A document's 5-gram ratios are compared per symbol, over the whole text and over its words, its word ratios by the
+highest ones and by how many are high; a logistic layer turns these into a score. It is fitted on labelled rows that
 the class counts don't include (a fourth of those allowed), at most ``CALIBRATION`` of them, drawn by hash.
 
 Cases: null and empty texts have ratio 0 and get the logistic layer's value for that; without labelled rows of both
@@ -20,7 +28,7 @@ ignored; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrow import binary, bounded_batches, mapped
+from loomgraph.llm.neardup import mix, powers
 from loomgraph.storage import Stage
 
 ORDER, SYMBOL_BITS = 5, 5
@@ -41,6 +50,22 @@ STEP = 0.1
 CALIBRATION = 6000
 BROADCAST_LABELS = 500_000
 TOP = 3
+#: Bytes of the beginnings that words are compared by, and bytes of a word where scripts set no spaces.
+LENGTHS, WINDOW = (3, 6, 9, 12), 12
+#: A word is high from this log-likelihood ratio on.
+HIGH = 2.0
+#: Word pieces of at most so many rows, by count, are broadcast; more are joined by shuffle.
+BROADCAST_PIECES = 4_000_000
+
+_random = np.random.default_rng(20240301)
+_TABLE = _random.integers(0, 1 << 64, 256, np.uint64)
+_BASE = int(_random.integers(0, 1 << 63)) * 8 + 5
+_END = np.uint64(1 << 40)
+_GAP = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+#: Lead bytes of scripts that mostly set no spaces.
+_DENSE = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xF0])
+#: Marks that aren't ASCII, as lead byte, range of the next byte, and length.
+_MARKS = ((0xC2, 0x80, 0xBF, 2), (0xE2, 0x80, 0x81, 3), (0xE3, 0x80, 0x80, 3))
 
 
 def _symbol(b: int) -> int:
@@ -76,9 +101,9 @@ def own_spans(ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def counted(docs: DataFrame) -> Stage:
-    """(gram, ordinary, toxic, other) counts over all rows of ``docs`` (text, kind: 0, 1 or other)."""
+    """(gram, ordinary, toxic) counts; grams of all rows of ``docs`` (text, kind: 0, 1 or other) have a row."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("gram", pa.int32()), ("ordinary", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
+    schema = pa.schema([("gram", pa.int32()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
 
     def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Sums of the held (gram, kind) codes, as one batch of each 2**16 grams."""
@@ -89,7 +114,7 @@ def counted(docs: DataFrame) -> Stage:
         gram, kind = (codes >> 2).astype(np.int32), codes & 3
         for i in range(0, gram.size, 1 << 16):
             part = slice(i, i + (1 << 16))
-            columns = [pa.array(gram[part]), *(pa.array(np.where(kind[part] == k, sums[part], 0)) for k in range(3))]
+            columns = [pa.array(gram[part]), *(pa.array(np.where(kind[part] == k, sums[part], 0)) for k in range(2))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +134,8 @@ def counted(docs: DataFrame) -> Stage:
                     held = []
         yield from out(held)
 
-    rows = docs.select("text", "kind").mapInArrow(run, "gram int, ordinary long, toxic long, other long")
-    sums = rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "other")])
+    rows = docs.select("text", "kind").mapInArrow(run, "gram int, ordinary long, toxic long")
+    sums = rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
     return Stage(sums, "grams")
 
 
@@ -156,11 +181,164 @@ def ratio_table(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np
     return table
 
 
-FEATURES = 1 + 2 * TOP
+def word_paths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each text: the text's number, and the hashes of its pieces (a row each; 0: none)."""
+    lowered = [t.decode(errors="replace").lower().encode() for t in texts]
+    data = np.frombuffer(b"".join(t + b"\n" for t in lowered), np.uint8)
+    gap, after = _GAP[data], np.append(data[1:], np.uint8(0))
+    for lead, low, high, n in _MARKS:
+        at = np.flatnonzero((data == lead) & (after >= low) & (after <= high))
+        for k in range(n):
+            gap[at + k] = True
+    edge = np.flatnonzero(np.diff((~gap).astype(np.int8), prepend=np.int8(0)))
+    begin, end = edge[::2], edge[1::2]
+    dense = np.flatnonzero(_DENSE[data] & ~gap)
+    own = ~_DENSE[data[begin]]
+    stop = np.minimum(end[np.searchsorted(end, dense, side="right")], dense + WINDOW) if dense.size else dense
+    begin, end = np.concatenate([begin[own], dense]), np.concatenate([end[own], stop])
+    length = end - begin
+    sums = np.zeros(data.size + 1, np.uint64)
+    np.cumsum(_TABLE[data] * powers(_BASE, data.size), out=sums[1:])
+    inverse = powers(pow(_BASE, -1, 1 << 64), max(1, data.size))[begin]
+    whole = mix((sums[end] - sums[begin]) * inverse + length.astype(np.uint64) + _END)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), begin, side="right")
+    _, first = np.unique(mix(whole ^ mix(text.astype(np.uint64) + np.uint64(1))), return_index=True)
+    first.sort()
+    text, begin, length, inverse, whole = text[first], begin[first], length[first], inverse[first], whole[first]
+    paths = np.zeros((first.size, len(LENGTHS) + 1), np.uint64)
+    for k, n in enumerate(LENGTHS):
+        longer = np.flatnonzero(length > n)
+        paths[longer, k] = mix((sums[begin[longer] + n] - sums[begin[longer]]) * inverse[longer] + np.uint64(n))
+    paths[np.arange(first.size), np.searchsorted(LENGTHS, length)] = whole
+    return text, paths.view(np.int64)
+
+
+def pieces(docs: DataFrame) -> Stage:
+    """(piece, parent, n_all, ordinary, toxic): words of ``docs`` (text, kind: 0, 1 or other) by piece."""
+    bounded_batches(docs.sparkSession)
+    schema = pa.schema([("piece", pa.int64()), ("parent", pa.int64()), ("kind", pa.int8()), ("n", pa.int64())])
+
+    def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        piece, parent, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        piece, first, number = np.unique(piece, return_index=True, return_inverse=True)
+        return piece, parent[first], np.bincount(number, weights=n).astype(np.int64)
+
+    def out(kind: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        piece, parent, n = summed(held)
+        for i in range(0, piece.size, 1 << 16):
+            part = slice(i, i + (1 << 16))
+            columns = [pa.array(piece[part]), pa.array(parent[part]), pa.array(np.full(piece[part].size, kind, np.int8)), pa.array(n[part])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {0: [], 1: [], 2: []}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text, paths = word_paths(binary(batch.column("text")))
+            kinds = batch.column("kind").to_numpy(zero_copy_only=False)[text]
+            parents = np.column_stack([np.zeros(len(paths), np.int64), paths[:, :-1]])
+            for kind, parts in held.items():
+                here = (paths != 0) & (kinds == kind)[:, None]
+                if here.any():
+                    piece = paths[here]
+                    parts.append(summed([(piece, parents[here], np.ones(piece.size))]))
+                if len(parts) >= 8 or sum(p[0].size for p in parts) > 1 << 20:
+                    parts[:] = [summed(parts)]
+                    if parts[0][0].size > 1 << 20:  # many different ones: they go on, and the sums below add them up
+                        yield from out(kind, parts)
+                        parts.clear()
+        for kind, parts in held.items():
+            if parts:
+                yield from out(kind, parts)
+
+    rows = docs.select("text", "kind").mapInArrow(run, "piece long, parent long, kind byte, n long")
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    sums = rows.groupBy("piece", "parent").agg(F.sum("n").alias("n_all"), of(0).alias("ordinary"), of(1).alias("toxic"))
+    return Stage(sums, "pieces")
+
+
+def word_ratios(counts: DataFrame) -> DataFrame:
+    """(piece, step, unseen) of the pieces in labelled rows: the log-likelihood ratio toxic to ordinary of the piece
+    after its parent, and of a piece after it that neither class has. Piece 0 stands before all words.
+    """
+    totals = counts.groupBy("parent").agg(
+        F.sum("n_all").alias("all_here"),
+        *[F.sum(c).alias(f"{c}_here") for c in ("ordinary", "toxic")],
+        *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_types") for c in ("ordinary", "toxic")],
+    )
+    totals = totals.filter("ordinary_here + toxic_here > 0")
+
+    def rest(c: str):  # what the class leaves to the counts of all documents
+        return F.when(F.col(f"{c}_here") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_here")).otherwise(1.0)
+
+    def prob(c: str):
+        own = F.when(F.col(f"{c}_here") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_here")).otherwise(0.0)
+        return own + rest(c) * F.col("n_all") / F.col("all_here")
+
+    steps = counts.filter("ordinary + toxic > 0").join(totals, "parent")
+    steps = steps.select("piece", F.log(prob("toxic") / prob("ordinary")).cast("float").alias("step"))
+    unseen = totals.select(F.col("parent").alias("piece"), F.log(rest("toxic") / rest("ordinary")).cast("float").alias("unseen"))
+    joined = steps.join(unseen, "piece", "full")
+    return joined.select("piece", F.coalesce("step", F.lit(0.0).cast("float")).alias("step"), F.coalesce("unseen", F.lit(0.0).cast("float")).alias("unseen"))
+
+
+@dataclass
+class Words:
+    """The ratios of :func:`word_ratios`, sorted by piece."""
+
+    piece: np.ndarray
+    step: np.ndarray
+    unseen: np.ndarray
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ratios of the distinct words of each text."""
+        text, paths = word_paths(texts)
+        ratio, last = np.zeros(len(paths), np.float32), np.full(len(paths), self.unseen[np.searchsorted(self.piece, 0)] if self.piece.size else 0, np.float32)
+        on = np.arange(len(paths)) if self.piece.size else np.zeros(0, np.int64)
+        for k in range(paths.shape[1]):
+            on = on[paths[on, k] != 0]
+            if not on.size:
+                break
+            piece, number = np.unique(paths[on, k], return_inverse=True)
+            at = np.minimum(np.searchsorted(self.piece, piece), self.piece.size - 1)
+            found, at = (self.piece[at] == piece)[number], at[number]
+            ratio[on[~found]] += last[on[~found]]
+            on, at = on[found], at[found]
+            ratio[on] += self.step[at]
+            last[on] = self.unseen[at]
+        cut = np.searchsorted(text[order := np.argsort(text, kind="stable")], np.arange(1, len(texts)))
+        return np.split(ratio[order], cut) if texts else []
+
+
+def joined_ratios(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """``docs`` (text) with ``ratios`` of its distinct words, as :class:`Words` gives them, by a shuffle join."""
+    keyed = docs.withColumn("text_key", F.sha2("text", 256))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        text, paths = word_paths(binary(batch.column("text")))
+        word, level = np.nonzero(paths)
+        keys = batch.column("text_key").take(pa.array(text[word]))
+        return {"text_key": keys, "word": paths[word, (paths[word] != 0).sum(axis=1) - 1], "level": level, "piece": paths[word, level]}
+
+    rows = mapped(keyed, work, "text_key string, word long, level int, piece long", ["text_key", "text"])
+    rows = rows.filter("text_key is not null").dropDuplicates(["text_key", "word", "level"]).join(table, "piece", "left")
+    root = F.lit((table.filter("piece = 0").first() or {"unseen": 0.0})["unseen"])
+    found = F.when(F.col("step").isNotNull(), F.col("level"))
+    last = F.coalesce(F.max_by("unseen", found), root)
+    ratio = F.coalesce(F.sum("step"), F.lit(0.0)) + F.when(F.count("step") < F.count("*"), last).otherwise(0.0)
+    words = rows.groupBy("text_key", "word").agg(ratio.cast("float").alias("ratio"))
+    lists = words.groupBy("text_key").agg(F.collect_list("ratio").alias("ratios"))
+    return keyed.join(lists, "text_key", "left").drop("text_key")
+
+
+FEATURES = 1 + 2 * TOP + TOP + 3
 
 
-def features(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """For each text: mean ratio per symbol, the highest TOP word sums, and the highest TOP means per symbol of a word."""
+def features(texts: list[bytes], table: np.ndarray, ratios: list[np.ndarray]) -> np.ndarray:
+    """For each text: mean ratio per symbol, the highest TOP word sums, and the highest TOP means per symbol of a word;
+    of the ratios of its distinct words the highest TOP, the mean, the number of high ones and their sum (logarithms).
+    """
     out = np.zeros((len(texts), FEATURES), np.float32)
     found, symbols, ends = grams(texts)
     ratio = table[found].astype(np.float32) * STEP
@@ -179,6 +357,11 @@ def features(texts: list[bytes], table: np.ndarray) -> np.ndarray:
             k = min(TOP, sums.size)
             out[i, 1 : 1 + k] = np.sort(np.partition(sums, sums.size - k)[-k:])[::-1]
             out[i, 1 + TOP : 1 + TOP + k] = np.sort(np.partition(means, means.size - k)[-k:])[::-1]
+    for i, r in enumerate(ratios):
+        if r.size:
+            k, high = min(TOP, r.size), r[r >= HIGH]
+            out[i, 1 + 2 * TOP : 1 + 2 * TOP + k] = np.sort(np.partition(r, r.size - k)[-k:])[::-1]
+            out[i, 1 + 3 * TOP :] = r.mean(), np.log1p(high.size), np.log1p(high.sum())
     return out
 
 
@@ -216,41 +399,74 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id", "left")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray, Logistic | float]:
-    """The ratio table and the logistic layer. Labels of rows with remainder 0 modulo ``folds`` are never read."""
+@dataclass
+class Model:
+    """The 5-gram ratios, the word ratios (as a table where they are many) and the logistic layer, or a fixed score."""
+
+    table: np.ndarray
+    words: Words | DataFrame
+    layer: Logistic | float = 0.0
+
+    def features(self, docs: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray], dict], schema: str, columns: list[str]) -> DataFrame:
+        """``work`` on batches of ``docs`` (``columns``, text among them) and the features of their texts."""
+        local = isinstance(self.words, Words)
+        held = docs.sparkSession.sparkContext.broadcast((self.table, self.words if local else None))
+
+        def run(batch: pa.RecordBatch) -> dict:
+            table, words = held.value
+            texts = binary(batch.column("text"))
+            ratios = words(texts) if local else [np.array(r or [], np.float32) for r in batch.column("ratios").to_pylist()]
+            return work(batch, features(texts, table, ratios))
+
+        return mapped(docs if local else joined_ratios(docs, self.words), run, schema, columns if local else [*columns, "ratios"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast: int = BROADCAST_PIECES) -> Model:
+    """The ratios and the logistic layer. Labels of rows with remainder 0 modulo ``folds`` are never read."""
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
     allowed = labels.filter(rest != 0)
     known = labelled(docs, allowed, "toxic")
     counted_here = F.col("label").isNotNull() & (rest != folds - 1)
-    counts = counted(known.withColumn("kind", F.when(counted_here, F.least(F.greatest("label", F.lit(0)), F.lit(1))).otherwise(2)))
+    kinds = known.withColumn("kind", F.when(counted_here, F.least(F.greatest("label", F.lit(0)), F.lit(1))).otherwise(2))
+    counts = counted(kinds)
     rows = counts.df.toArrow()  # at most GRAMS rows
     counts.drop()
     gram, ordinary, toxic = (rows.column(c).to_numpy() for c in ("gram", "ordinary", "toxic"))
     table = ratio_table(gram.astype(np.int64), ordinary, toxic)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    counts = pieces(kinds)
+    ratios = Stage(word_ratios(counts.df), "word-ratios")
+    counts.drop()
+    words: Words | DataFrame = ratios.df
+    if ratios.df.count() <= broadcast:
+        rows = ratios.df.toArrow()
+        ratios.drop()
+        piece, step, unseen = (rows.column(c).to_numpy() for c in ("piece", "step", "unseen"))
+        order = np.argsort(piece)
+        words = Words(piece[order], step[order], unseen[order])
+    model = Model(table, words)
     own = known.filter(F.col("label").isNotNull() & (rest == folds - 1))
     n = max(1, own.count())
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     own = own.filter(uniform < min(1.0, CALIBRATION / n))
 
-    def work(batch: pa.RecordBatch) -> dict:
-        return {"x": list(features(binary(batch.column("text")), held.value)), "label": batch.column("label"), "doc_id": batch.column("doc_id")}
+    def work(batch: pa.RecordBatch, x: np.ndarray) -> dict:
+        return {"x": list(x), "label": batch.column("label"), "doc_id": batch.column("doc_id")}
 
-    found = mapped(own, work, "doc_id long, label int, x array<float>", ["doc_id", "text", "label"]).toArrow().sort_by("doc_id")
+    found = model.features(own, work, "doc_id long, label int, x array<float>", ["doc_id", "text", "label"]).toArrow().sort_by("doc_id")
     y = np.minimum(1, np.array(found.column("label").to_pylist(), float))
     if len(set(y)) < 2:
-        return table, float(y.mean()) if y.size else 0.0
-    return table, fit_logistic(np.array(found.column("x").to_pylist(), np.float64), y)
+        model.layer = float(y.mean()) if y.size else 0.0
+    else:
+        model.layer = fit_logistic(np.array(found.column("x").to_pylist(), np.float64), y)
+    return model
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Logistic | float]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, ratio (mean per symbol), score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    layer = model.layer
 
-    def work(batch: pa.RecordBatch) -> dict:
-        table, layer = held.value
-        x = features(binary(batch.column("text")), table)
+    def work(batch: pa.RecordBatch, x: np.ndarray) -> dict:
         scores = layer(x.astype(np.float64)) if isinstance(layer, Logistic) else np.full(len(x), layer)
         return {"doc_id": batch.column("doc_id"), "ratio": x[:, 0].astype(np.float64), "score": scores}
 
-    return mapped(docs, work, "doc_id long, ratio double, score double", ["doc_id", "text"])
+    return model.features(docs, work, "doc_id long, ratio double, score double", ["doc_id", "text"])

@@ -329,6 +329,33 @@ def test_scorers_without_labels(spark, marked, module):
     assert module.score(df.limit(0), module.fit(df.limit(0), labels)).count() == 0
 
 
+def test_toxicity_of_words_of_common_syllables(spark):
+    rng = random.Random(6)
+    syllables = ["ка", "ло", "ми", "ту", "ре", "со", "ви", "ны"]
+    rows, labels = [], []
+    for i in range(900):
+        words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(20, 120))]
+        words = [w for w in words if not w.startswith("витуре")]
+        toxic = rng.random() < 0.3
+        for _ in range(2 * toxic):
+            words.insert(rng.randrange(len(words)), "витуре" + rng.choice(syllables))
+        rows.append((i, " ".join(words), "ru", "s"))
+        labels.append((i, 1, int(toxic)))
+    df, given = docs(spark, [*rows, (None, None, None, None), (0, rows[0][1], "ru", "s")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = sorted((str(r.doc_id), r.score) for r in toxicity.score(df, toxicity.fit(df, given)).collect())
+    of = dict(found)
+    held = [i for i in range(900) if fold(i, 5) == 0]
+    assert sum((of[str(i)] >= 0.5) == bool(labels[i][2]) for i in held) >= 0.95 * len(held)
+    joined = sorted((str(r.doc_id), r.score) for r in toxicity.score(df, toxicity.fit(df, given, broadcast=0)).collect())
+    assert len(joined) == 902 and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 for a, b in zip(found, joined, strict=True))
+
+
+def test_word_paths_keep_letters_apart():
+    text, paths = toxicity.word_paths(["Ré réeux «RÉEUX» a1".encode(), b"", "坏人 ka\u2014ka".encode()])
+    assert text.tolist().count(0) == 3 and 1 not in text and text.tolist().count(2) == 3
+    assert len({p for row in paths.tolist() for p in row if p}) == (paths != 0).sum() == 8
+
+
 def test_backed_off_probabilities_sum_to_one():
     gram = np.unique(np.random.default_rng(0).integers(0, toxicity.GRAMS, 5000))
     prob = np.full(toxicity.SYMBOLS, 1 / toxicity.SYMBOLS)
