@@ -2,9 +2,11 @@
 
 A page that a rule fits gets that rule's verdict (longest rule wins). Every other page gets its host's verdict:
 
-* hosts with pages that allow rules fit are trusted seeds; hosts with pages that only block rules fit are blocked seeds;
+* hosts are those of pages and of what pages link to, crawled or not; a crawled host is judged by the urls of its pages,
+  another one by the linked urls;
+* hosts with urls that allow rules fit are trusted seeds; hosts with urls that only block rules fit are blocked seeds;
 * host edges are the absolute links in the pages' HTML, and, both ways, a host and the same host without its first
-  label, if both have pages;
+  label, if both are hosts of these;
 * trust is personalised PageRank from the trusted seeds along the edges, distrust the same from the blocked seeds
   against them: who links to a blocked host is distrusted;
 * a host is blocked if its distrust exceeds ``margin`` times its trust and ``floor`` times one seed's share.
@@ -60,25 +62,23 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return chosen
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Distinct (src, dst) between hosts that have pages."""
-    linked = (
+def links(pages: DataFrame) -> DataFrame:
+    """Distinct (src, dst, path) of the absolute links in the HTML of ``pages`` (host, html)."""
+    return (
         pages.filter(F.col("html").contains("://"))
         .select("host", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+://[^"'\s>]+)"""), 1)).alias("url"))
-        .select(F.col("host").alias("src"), host_of(F.col("url")).alias("dst"))
+        .select(F.col("host").alias("src"), host_of(F.col("url")).alias("dst"), path_of(F.col("url")).alias("path"))
+        .filter("dst <> ''")
         .distinct()
     )
+
+
+def host_edges(linked: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of links and, both ways, of hosts with their parent host."""
     up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst"))
+    up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
     both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    known = hosts.select("host")
-    return (
-        linked.unionByName(both)
-        .filter("src <> '' and dst <> '' and src <> dst")
-        .distinct()
-        .join(known.withColumnRenamed("host", "dst"), "dst", "left_semi")
-        .join(known.withColumnRenamed("host", "src"), "src", "left_semi")
-        .select("src", "dst")
-    )
+    return linked.select("src", "dst").unionByName(both).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
@@ -124,9 +124,19 @@ def judge(
     """One row for each row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, host_verdict."""
     cut = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = cut.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    seeds = ruled.filter("host <> ''").groupBy("host").agg(
-        F.max((F.coalesce(F.col("fit.verdict"), F.lit("")) == "allow").cast("int")).alias("a"),
-        F.max((F.coalesce(F.col("fit.verdict"), F.lit("")) == "block").cast("int")).alias("b"),
+    linked = Stage(links(cut), "links")
+    targets = linked.df.select(F.col("dst").alias("host"), "path").distinct()
+    targets = targets.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+
+    def of(verdict: str, crawled: bool) -> Column:
+        fits = F.coalesce(F.col("fit.verdict"), F.lit("")) == verdict
+        return F.max((fits & (F.col("crawled") == crawled)).cast("int"))
+
+    urls = ruled.filter("host <> ''").select("host", "fit", F.lit(True).alias("crawled"))
+    urls = urls.unionByName(targets.select("host", "fit", F.lit(False).alias("crawled")))
+    seeds = urls.groupBy("host").agg(
+        F.when(F.max("crawled"), of("allow", True)).otherwise(of("allow", False)).alias("a"),
+        F.when(F.max("crawled"), of("block", True)).otherwise(of("block", False)).alias("b"),
     )
     kinds = Stage(seeds.select("host", "a", (F.col("b") * (1 - F.col("a"))).alias("b")), "hosts")
     n = kinds.df.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
@@ -135,7 +145,7 @@ def judge(
         (F.col("a") / F.lit(float(max(1, n["a"] or 0)))).alias("trusted"),
         (F.col("b") / F.lit(float(max(1, n["b"] or 0)))).alias("blocked"),
     )
-    ranks = propagate(shares, host_edges(cut, shares), iterations, damping)
+    ranks = propagate(shares, host_edges(linked.df, shares), iterations, damping)
     least = floor * (1 - damping) / max(1, n["b"] or 0)
     bad = ranks.filter((F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") > least)).select(
         F.col("host").alias("bad_host")

@@ -177,6 +177,17 @@ def test_distrust_goes_against_links(spark):
     assert sorted(found) == [(1, "block"), (2, "block"), (3, "block"), (4, "block"), (5, "allow"), (6, "allow"), (7, "allow"), (8, "allow"), (8, "allow")]
 
 
+def test_distrust_of_hosts_without_pages(spark):
+    rows = [
+        (1, "http://spammy.com/a", '<a href="http://uncrawled.net/x">'),
+        (2, "http://far.com/a", '<a href="http://between.com/y"> <a href="http://spammy.com/a">'),
+        (3, "http://mixed.com/a", '<a href="http://good.example.net/en/x"> <a href="http://good.example.net/de/x">'),
+        (4, "http://alone.com/", None),
+    ]
+    found = {r.page_id: r.verdict for r in urls.judge(pages(spark, rows)).collect()}
+    assert found == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 # ---- mixing
 
 
