@@ -1,31 +1,38 @@
-"""Exact substring dedup: every byte covered by a 400-byte string that also starts anywhere else is removed.
-
-Suffix arrays find the repeated strings. So that the strings that have to be compared meet in one shard, and those that
-can't repeat never do, texts are cut by content first:
-
-1. Every 400-byte window has an anchor: the 64-byte gram with the least hash in it (the first of equal ones). Equal
-   windows have equal anchors. Consecutive windows with the same anchor place form a run; the bytes of a run are its
-   context, at most 736 bytes. Runs whose anchor gram occurs once in the corpus hold no repeated window and go.
-2. Equal contexts are held once, with their number; a context that occurs twice repeats in all its windows.
+"""Exact substring dedup: bytes covered by strings of a fixed length that also start anywhere else.
+
+Two lengths are in use. :func:`dedup` removes what 400-byte strings cover and counts passages; :func:`cleaned` removes
+passages: maximal runs covered by repeated 200-byte strings that hold more than 50 words. A passage of over 50 words is
+rarely shorter than 200 bytes and often shorter than 400. Suffix arrays find the repeated strings. So that the strings
+that have to be compared meet in one shard, and those that can't repeat never do, texts are cut by content first:
+
+1. Every window (string of the length) has an anchor: the gram (64 bytes for 400, 32 for 200) with the least hash in it
+   (the first of equal ones). Equal windows have equal anchors. Consecutive windows with the same anchor place form a
+   run; the bytes of a run are its context, less than two lengths. Runs whose anchor gram occurs once in the corpus hold
+   no repeated window and go.
+2. Equal contexts (by 192 bits of hash) are held once, with their number; a context that occurs twice repeats in all its
+   windows.
 3. Contexts are dealt by anchor gram to shards of less than 2**20 bytes. Each shard gets a suffix array by Larsson and
    Sadakane's refinement in numpy: order by 8 bytes, then groups of equal prefixes are ordered by the rank of what
-   follows, 16, 32, ... up to 400 bytes; groups of one are done. Kasai's rule gives common prefixes (capped at 400) of
-   neighbours: with a stride that is halved, the prefix of place i bounds that of i + d from below. Runs of neighbours
-   with 400 common bytes that hold two window starts are repeats.
+   follows, 16, 32, ... up to the length; groups of one are done. Kasai's rule gives common prefixes (capped at the
+   length) of neighbours: with a stride that is halved, the prefix of place i bounds that of i + d from below. Runs of
+   neighbours with that many common bytes that hold two window starts are repeats.
 4. Merging across shards: an anchor gram with more contexts than fit a shard is parted by binary search on the place of
    the window. Windows to the left and to the right of the middle share longer cores around the anchor; each half is
    dealt by its core, whose unique ones go, and halves that are still too many are parted again, at most nine times
    (then the core is the window itself). No shard's size, nor any group's, grows with the corpus.
-5. Repeated window starts go back to their documents and are united.
+5. Repeated window starts go back to their documents and are united. A 400-byte string that repeats lies where 200-byte
+   strings do, so the longer ones are searched only within the runs that the shorter ones cover.
 
-Cases: null is an empty text; texts of less than 400 bytes keep everything; a null doc_id stays null; repeated rows are
-documents of their own, so their windows repeat; further columns are ignored; an empty table gives an empty result.
+Cases: null is an empty text; texts shorter than the length keep everything; a null doc_id stays null; repeated rows are
+documents of their own, so their windows repeat; further columns are ignored by :func:`dedup` and carried by
+:func:`cleaned`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,10 @@ from pyspark.sql import types as T
 from loomgraph.llm.arrow import binary, bounded_batches, mapped
 from loomgraph.storage import Stage
 
-LENGTH, GRAM = 400, 64
+#: Bytes of the strings that :func:`dedup` removes.
+LENGTH = 400
+#: A passage is a run of repeated strings of so many bytes that holds more than so many words.
+PASSAGE, OVER_WORDS = 200, 50
 #: A shard holds fewer than 2**PLACE_BITS bytes, so that two ranks and a place fit 64 bits.
 PLACE_BITS = 20
 #: More contexts than this with one key are parted further (their bytes might not fit a shard).
@@ -48,11 +58,16 @@ NO_ID = -(1 << 63)
 # ---- anchors -------------------------------------------------------------------------------------------------------
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the GRAM bytes (a multiple of 16) from each place on."""
-    n = len(data) - GRAM + 1
+def gram_of(length: int) -> int:
+    """Bytes of the anchors of strings of so many bytes, a multiple of 16: a sixth at most, but 16 at least."""
+    return max(16, length // 6 // 16 * 16)
+
+
+def gram_hashes(data: bytes, gram: int) -> np.ndarray:
+    """Hashes of the ``gram`` bytes (a multiple of 16) from each place on."""
+    n = len(data) - gram + 1
     h = np.zeros(n, np.uint64)
-    for at in range(0, GRAM, 16):
+    for at in range(0, gram, 16):
         h ^= np.ndarray((n,), "<u8", data, at, (1,)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h ^= np.ndarray((n,), "<u8", data, at + 8, (1,)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,10 +79,11 @@ def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     """First window, number of windows, anchor place and anchor hash of each run of the text."""
     if len(text) < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    hashes = gram_hashes(text)
-    # the least of (hash, place) over length - GRAM + 1 grams, by doubling
+    gram = gram_of(length)
+    hashes = gram_hashes(text, gram)
+    # the least of (hash, place) over length - gram + 1 grams, by doubling
     least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(hashes.size, dtype=np.uint64)
-    width, wanted = 1, length - GRAM + 1
+    width, wanted = 1, length - gram + 1
     while width * 2 <= wanted:
         least = np.minimum(least[: least.size - width], least[width:])
         width *= 2
@@ -87,12 +103,12 @@ def digest(context: bytes, offset: int) -> tuple[int, int]:
 OCCURRENCE = "id long, tag long, at int, n int, offset int, key long, hi long, lo long"
 
 
-def occurrences(batch: pa.RecordBatch) -> dict:
+def occurrences(batch: pa.RecordBatch, length: int) -> dict:
     texts = binary(batch.column("text"))
     found: dict[str, list] = {c.split()[0]: [] for c in OCCURRENCE.split(", ")}
     for i, t, tag in zip(batch.column("id").to_pylist(), texts, batch.column("tag").to_pylist(), strict=True):
-        first, n, anchor, key = runs(t)
-        ends = (first + n + LENGTH - 1).tolist()
+        first, n, anchor, key = runs(t, length)
+        ends = (first + n + length - 1).tolist()
         offset = (anchor - first).tolist()
         both = [digest(t[s:e], o) for s, e, o in zip(first.tolist(), ends, offset, strict=True)]
         found["id"] += [i] * len(both)
@@ -227,14 +243,14 @@ def repeated(contexts: list[bytes], counts: list[int], depth: int = LENGTH) -> l
 VERDICT = "key long, hi long, lo long, spans array<int>"
 
 
-def judge_shards(contexts: DataFrame) -> DataFrame:
+def judge_shards(contexts: DataFrame, length: int) -> DataFrame:
     """Verdicts on contexts (key, hi, lo, total, bytes): those of one key together, few enough for a shard."""
     bounded_batches(contexts.sparkSession)
     schema = pa.schema([("key", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("spans", pa.list_(pa.int32()))])
     limit = 1 << PLACE_BITS
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
-        spans = repeated([r[4] for r in rows], [r[3] for r in rows])
+        spans = repeated([r[4] for r in rows], [r[3] for r in rows], length)
         columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [pa.array(spans, schema.field("spans").type)]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -271,18 +287,18 @@ PARTED = (
 )
 
 
-def part(batch: pa.RecordBatch) -> dict:
+def part(batch: pa.RecordBatch, length: int) -> dict:
     """Contexts (CONTEXT), whose windows lie ``low`` to ``high`` bytes before the anchor, parted into halves."""
     out: dict[str, list] = {c.split()[0]: [] for c in PARTED.split(", ")}
     for key, hi, lo, total, offset, low, high, data in zip(*(batch.column(c).to_pylist() for c in CONTEXT), strict=True):
-        n, middle = len(data) - LENGTH + 1, (low + high) // 2
+        n, middle = len(data) - length + 1, (low + high) // 2
         for least, most in ((low, middle), (middle + 1, high)):
             # window t of the context lies offset - t bytes before the anchor
             first, last = max(0, offset - most), min(n - 1, offset - least)
             if first > last:
                 continue
-            core = data[offset - least : offset - most + LENGTH]
-            own = data[first : last + LENGTH]
+            core = data[offset - least : offset - most + length]
+            own = data[first : last + length]
             child = digest(core, least)[0]
             a, b = digest(own, offset - first)
             values = (key, hi, lo, first, child, a, b, total, offset - first, least, most, own)
@@ -291,7 +307,7 @@ def part(batch: pa.RecordBatch) -> dict:
     return out
 
 
-def resolve(contexts: DataFrame, most: int | None = None) -> DataFrame:
+def resolve(contexts: DataFrame, length: int = LENGTH, most: int | None = None) -> DataFrame:
     """Verdicts on distinct contexts (CONTEXT), however many a key has: a loop of at most nine rounds.
 
     A round judges the keys whose contexts fit a shard and parts the others. Keys of a single window have one context,
@@ -305,14 +321,14 @@ def resolve(contexts: DataFrame, most: int | None = None) -> DataFrame:
         again = numbers.df.filter("all >= 2")
         # a key with one context that occurs twice: all its windows repeat
         alone = contexts.join(again.filter("contexts = 1").select("key"), "key", "left_semi")
-        alone = alone.select("key", "hi", "lo", F.array(F.lit(0), (F.length("bytes") - LENGTH + 1)).alias("spans"))
+        alone = alone.select("key", "hi", "lo", F.array(F.lit(0), (F.length("bytes") - length + 1)).alias("spans"))
         few = contexts.join(again.filter(f"contexts between 2 and {most}").select("key"), "key", "left_semi")
-        judged.append(Stage(alone.unionByName(judge_shards(few)), "judged"))
+        judged.append(Stage(alone.unionByName(judge_shards(few, length)), "judged"))
         hot = again.filter(F.col("contexts") > most).select("key")
         if hot.isEmpty():
             numbers.drop()
             break
-        halves.append(Stage(mapped(contexts.join(hot, "key", "left_semi"), part, PARTED, CONTEXT), "halves"))
+        halves.append(Stage(mapped(contexts.join(hot, "key", "left_semi"), partial(part, length=length), PARTED, CONTEXT), "halves"))
         numbers.drop()
         firsts = [F.first(c).alias(c) for c in ("offset", "low", "high", "bytes")]
         distinct = halves[-1].df.groupBy("key", "hi", "lo").agg(F.sum("total").alias("total"), *firsts)
@@ -343,9 +359,9 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "tag": F.xxhash64("text")})
 
 
-def spans(texts: DataFrame) -> Stage:
+def spans(texts: DataFrame, length: int = LENGTH) -> Stage:
     """(id, tag, spans) of the texts (id, tag, text) with repeated windows; flat [start, end) pairs of window starts."""
-    every = Stage(mapped(texts, occurrences, OCCURRENCE, ["id", "tag", "text"]), "runs")
+    every = Stage(mapped(texts, partial(occurrences, length=length), OCCURRENCE, ["id", "tag", "text"]), "runs")
     twice = Stage(every.df.groupBy("key").agg(F.count("*").alias("c")).filter("c >= 2").select("key"), "repeated-keys")
     some = Stage(every.df.join(twice.df, "key", "left_semi"), "repeated-runs")
     every.drop()
@@ -366,11 +382,11 @@ def spans(texts: DataFrame) -> Stage:
     )
     some_texts = only(texts, wanted.df.select("id", "tag"))
     contexts = Stage(
-        mapped(some_texts.join(wanted.df, ["id", "tag"]), cut, CUT, ["text", "own"]),
+        mapped(some_texts.join(wanted.df, ["id", "tag"]), partial(cut, length=length), CUT, ["text", "own"]),
         "context-bytes",
     )
     wanted.drop()
-    verdicts = Stage(simple.unionByName(resolve(contexts.df)).filter(F.size("spans") > 0), "verdicts")
+    verdicts = Stage(simple.unionByName(resolve(contexts.df, length)).filter(F.size("spans") > 0), "verdicts")
     shifted = F.transform("spans", lambda x: x + F.col("at"))
     back = some.df.join(verdicts.df, ["key", "hi", "lo"]).select("id", "tag", shifted.alias("spans"))
     out = Stage(back.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
@@ -382,59 +398,100 @@ def spans(texts: DataFrame) -> Stage:
 CUT = "key long, hi long, lo long, total long, offset int, low int, high int, bytes binary"
 
 
-def cut(batch: pa.RecordBatch) -> dict:
+def cut(batch: pa.RecordBatch, length: int) -> dict:
     out: dict[str, list] = {c: [] for c in CONTEXT}
     for text, own in zip(binary(batch.column("text")), batch.column("own").to_pylist(), strict=True):
         for r in own:
             for c in ("key", "hi", "lo", "total", "offset"):
                 out[c].append(r[c])
             out["low"].append(0)
-            out["high"].append(LENGTH - GRAM)
-            out["bytes"].append(text[r["at"] : r["at"] + r["n"] + LENGTH - 1])
+            out["high"].append(length - gram_of(length))
+            out["bytes"].append(text[r["at"] : r["at"] + r["n"] + length - 1])
+    return out
+
+
+def removed(flat: list[int], length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that the windows starting in these [start, end) pairs cover."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
+        e += length - 1
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
     return out
 
 
-def keep(text: bytes, flat: list[int]) -> tuple[bytes, int, int]:
-    """What remains of a text, and the number of removed bytes and of maximal removed runs."""
-    pairs = sorted(zip(flat[::2], flat[1::2], strict=True))
-    kept, at, n = [], 0, 0
-    removed = 0
-    for s, e in pairs:
-        e += LENGTH - 1
-        if s > at or not n:
-            kept.append(text[at:s])
-            n += 1
-        elif e <= at:
-            continue
-        removed += e - max(s, at)
-        at = max(at, e)
-    kept.append(text[at:])
-    return b"".join(kept), removed, n
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
-
-    ``kept`` is what remains, as binary, null where nothing was removed.
+def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
+    starts, ends = [0, *(e for _, e in gone)], [*(s for s, _ in gone), len(text)]
+    return b"".join(text[s:e] for s, e in zip(starts, ends, strict=True))
+
+
+def passages(text: bytes, flat: list[int], length: int = PASSAGE, over: int = OVER_WORDS) -> list[tuple[int, int]]:
+    """The maximal runs that hold more than ``over`` words (parted by white space)."""
+    return [(s, e) for s, e in removed(flat, length) if len(text[s:e].split()) > over]
+
+
+def part_runs(batch: pa.RecordBatch, least: int, length: int) -> dict:
+    """The runs that strings of ``least`` bytes cover and that can hold one of ``length``, each as a text of its own."""
+    out: dict[str, list] = {"id": [], "tag": [], "at": [], "text": []}
+    for i, tag, text, flat in zip(batch.column("id").to_pylist(), batch.column("tag").to_pylist(), binary(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+        for s, e in removed(flat, least):
+            if e - s >= length:
+                for name, v in zip(out, (i, tag, s, text[s:e]), strict=True):
+                    out[name].append(v)
+    return out
+
+
+def longer(texts: DataFrame, short: DataFrame, least: int, length: int) -> DataFrame:
+    """(id, tag, long): windows of ``length`` that repeat, from the ``short`` ones (id, tag, spans) of ``least`` bytes.
+
+    Each part of a repeated string repeats too, so a longer one lies within a run that shorter ones cover.
+    """
+    inner = mapped(texts.join(short, ["id", "tag"]), partial(part_runs, least=least, length=length), "id long, tag long, at int, text binary", ["id", "tag", "text", "spans"])
+    held = Stage(inner.withColumn("own", F.xxhash64("tag", "at")), "covered")
+    found = spans(held.df.select("id", F.col("own").alias("tag"), "text"), length)
+    places = held.df.select("id", "tag", "at", "own").distinct()
+    back = places.join(found.df.select("id", F.col("tag").alias("own"), "spans"), ["id", "own"])
+    shifted = back.select("id", "tag", F.transform("spans", lambda x: x + F.col("at")).alias("spans"))
+    out = Stage(shifted.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("long")), "long-spans")
+    held.drop()
+    found.drop()
+    return out.df
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, over: int = OVER_WORDS) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): what repeats, and what remains without it.
+
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the strings of ``length`` bytes; n_passages and
+    passage_bytes, the runs of repeated strings of ``passage`` bytes that hold more than ``over`` words, which are counted
+    but not removed; kept, what remains as binary, null where nothing was removed.
     """
+    passage = min(passage, length)
     texts = named(docs.select("doc_id", "text"))
-    found = spans(texts.select("id", "tag", "text"))
-    ids = found.df.select("id", "tag")
+    short = spans(texts.select("id", "tag", "text"), passage).df
+    ids = short.select("id", "tag")
+    some = only(texts, ids)
+    long = longer(some, short, passage, length) if passage < length else short.withColumnRenamed("spans", "long")
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = binary(batch.column("text"))
-        done = [keep(t, s) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+        runs = [removed(flat or [], length) for flat in batch.column("long").to_pylist()]
+        wordy = [passages(t, flat, passage, over) for t, flat in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+        kept = [without(t, r) for t, r in zip(texts, runs, strict=True)]
         return {
             "doc_id": batch.column("doc_id"),
             "n_bytes": [len(t) for t in texts],
-            "n_removed": [r for _, r, _ in done],
-            "n_spans": [n for _, _, n in done],
-            "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _, _ in done],
-            "kept": [k for k, _, _ in done],
+            "n_removed": [len(t) - len(k) for t, k in zip(texts, kept, strict=True)],
+            "n_spans": [len(r) for r in runs],
+            "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
+            "n_passages": [len(w) for w in wordy],
+            "passage_bytes": [sum(e - s for s, e in w) for w in wordy],
+            "kept": [k if r else None for k, r in zip(kept, runs, strict=True)],
         }
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    touched = mapped(only(texts, ids).join(found.df, ["id", "tag"]), work, schema, ["doc_id", "text", "spans"])
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long, kept binary"
+    touched = mapped(some.join(short, ["id", "tag"]).join(long, ["id", "tag"], "left"), work, schema, ["doc_id", "text", "spans", "long"])
     none = F.lit(0).cast("long")
     whole = F.coalesce("text", F.lit(""))
     rest = only(texts, ids, "left_anti").select(
@@ -443,29 +500,38 @@ def dedup(docs: DataFrame) -> DataFrame:
         none.alias("n_removed"),
         none.alias("n_spans"),
         F.sha2(whole, 256).alias("kept_sha256"),
+        none.alias("n_passages"),
+        none.alias("passage_bytes"),
         F.lit(None).cast("binary").alias("kept"),
     )
     return touched.unionByName(rest)
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) without the repeated bytes; texts of which nothing is left go, n_chars follows the text.
+def cleaned(docs: DataFrame, passage: int = PASSAGE, over: int = OVER_WORDS) -> DataFrame:
+    """``docs`` (all columns) without passages that repeat: runs of repeated strings of ``passage`` bytes with more than
+    ``over`` words. Texts of which nothing is left go, n_chars follows the text.
 
     Where a cut would split a character, the rest of that character goes too.
     """
     fields = docs.schema.names
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"))
-    found = spans(named(rows.select("doc_id", "text")))
+    found = spans(named(rows.select("doc_id", "text")), passage)
     ids = found.df.select("id", "tag")
     texts = named(rows)
 
     def work(batch: pa.RecordBatch) -> dict:
         pairs = zip(binary(batch.column("text")), batch.column("spans").to_pylist(), strict=True)
-        return {"row": batch.column("row"), "left": [keep(t, s)[0].decode("utf-8", "ignore") for t, s in pairs]}
+        gone = [(t, passages(t, flat, passage, over)) for t, flat in pairs]
+        # null: nothing goes
+        return {"row": batch.column("row"), "left": [without(t, g).decode("utf-8", "ignore") if g else None for t, g in gone]}
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("left", T.StringType())])
-    touched = mapped(only(texts, ids).join(found.df, ["id", "tag"]), work, schema, ["text", "spans", "row"]).filter("left <> ''")
+    touched = mapped(only(texts, ids).join(found.df, ["id", "tag"]), work, schema, ["text", "spans", "row"])
+    touched = touched.filter("left is null or left <> ''")
     values = {"text": F.col("left"), "n_chars": F.length("left")}
     types = dict(docs.dtypes)
-    new = touched.select(*[(values[c].cast(types[c]) if c in values else F.col(f"row.`{c}`")).alias(c) for c in fields])
+    own = lambda c: F.col(f"row.`{c}`")
+    new = touched.select(
+        *[(F.when(F.col("left").isNotNull(), values[c].cast(types[c])).otherwise(own(c)) if c in values else own(c)).alias(c) for c in fields]
+    )
     return new.unionByName(only(texts, ids, "left_anti").select("row.*"))

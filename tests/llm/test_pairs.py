@@ -32,10 +32,10 @@ def word_sets(rows):
     return out
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = word_sets(rows)
     label = {i: i for i in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in range(len(sets)):
         before = dict(label)
         for a, b in links:
@@ -203,6 +203,49 @@ def test_suffix_dedup_against_brute_force(spark, seed, most, monkeypatch):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == brute_removed(rows)
 
 
+def brute_passages(rows, length=200, over=50):
+    """(doc_id, bytes of the text, [(start, end)] of the passages) by all windows."""
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for (i, _), t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        for s in range(len(t) - length + 1):
+            if seen[t[s : s + length]] > 1:
+                gone[s : s + length] = b"\1" * length
+        runs, at = [], 0
+        while at < len(t):
+            end = at
+            while end < len(t) and gone[end] == gone[at]:
+                end += 1
+            if gone[at] and len(t[at:end].split()) > over:
+                runs.append((at, end))
+            at = end
+        out.append((i, t, runs))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffix_passages(spark, seed):
+    """Counts of both lengths together, on texts that share pieces of 30 to 90 words."""
+    random.seed(seed)
+    shared = [" ".join(random.choices(WORDS, k=random.randint(30, 90))) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(random.choices(WORDS, k=random.randint(0, 40))) for _ in range(3)]
+        parts[1:1] = random.sample(shared, random.choice([0, 1, 1, 2]))
+        rows.append((i, " ".join(parts)))
+    found = suffix.dedup(docs(spark, [row(*r) for r in rows])).collect()
+    expected = [(i, len(r), sum(e - s for s, e in r)) for i, _, r in brute_passages(rows)]
+    assert sorted((r.doc_id, r.n_passages, r.passage_bytes) for r in found) == expected
+    assert any(e[1] for e in expected) and not all(e[1] for e in expected)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_removed(rows)
+    left = {r.doc_id: r.text for r in suffix.cleaned(docs(spark, [row(*r) for r in rows])).collect()}
+    for i, t, runs in brute_passages(rows):
+        whole = b"".join(t[s:e] for s, e in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(t)], strict=True))
+        assert left.get(i, "") == whole.decode()
+
+
 def test_suffix_cleaned(spark):
     long = " ".join(random.Random(1).choices(WORDS, k=150))
     rows = [row(1, "alpha " + long + " omega"), row(2, "é" + long[1:] + "ü"), row(3, long), row(4, "clean"), row(None, "no id"), row(5, None)]

@@ -4,7 +4,7 @@ import importlib
 import os
 
 import pytest
-from test_pairs import brute_components, brute_removed
+from test_pairs import brute_components, brute_passages
 from test_texts import brute_hits, brute_mix
 
 import __spark_entry__
@@ -39,16 +39,16 @@ def test_stages_against_brute_force(spark):
     assert sorted(outs["language"]) == sorted(p for p in ins["language"] if p[0] not in rejected)
     assert len(rejected) <= 0.02 * len(ins["language"])
 
-    label, _ = brute_components(ins["near_duplicates"])
+    label, _ = brute_components(ins["near_duplicates"], percent=80)
     assert sorted(outs["near_duplicates"]) == sorted(p for p in ins["near_duplicates"] if label[p[0]] == p[0])
 
-    removed = {i: (n, gone) for i, n, gone, _, _ in brute_removed(ins["repeated_passages"])}
     left = dict(outs["repeated_passages"])
-    assert set(left) == {i for i, (n, gone) in removed.items() if gone < n or n == 0}
-    for i, t in ins["repeated_passages"]:
-        if i in left:
-            n, gone = removed[i]
-            assert left[i] == t if not gone else n - gone - 6 <= len(left[i].encode()) <= n - gone
+    for i, t, runs in brute_passages(ins["repeated_passages"]):
+        whole = b"".join(t[s:e] for s, e in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(t)], strict=True))
+        if runs and not whole.decode(errors="ignore"):
+            assert i not in left
+        else:
+            assert (left[i] or "") == whole.decode(errors="ignore")
 
     dirty = {h[0] for h in brute_hits(ins["decontamination"], items) if h[-1]}
     assert sorted(outs["decontamination"]) == sorted(p for p in ins["decontamination"] if p[0] not in dirty)
