@@ -26,12 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return neardup.keep(docs)
+    """Of each group of near-duplicates (similarity of 0.8 or more) the document with the smallest id stays."""
+    return neardup.keep(docs, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages of 400 bytes and more that stand elsewhere too go; so do documents of nothing else."""
+    """Passages of over 50 words that stand elsewhere too go; so do documents of nothing else."""
     return suffix.cleaned(docs)
 
 
