@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.storage import Stage
@@ -33,11 +33,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             "cc-least",
         )
         target = least.df.select(F.col("id").alias("t"), F.col("to").alias("jump"))
-        moved = Stage(
-            least.df.join(target, F.col("to") == F.col("t")).select("id", "was", F.least("to", "jump").alias("component")),
-            "cc-labels",
-        )
-        changed = not moved.df.filter("component <> was").isEmpty()
+        seen = Observation()
+        jumped = least.df.join(target, F.col("to") == F.col("t")).select("id", "was", F.least("to", "jump").alias("component"))
+        moved = Stage(jumped.observe(seen, F.count_if(F.col("component") != F.col("was")).alias("changed")), "cc-labels")
+        changed = seen.get["changed"]
         held.drop()
         least.drop()
         held = moved
