@@ -3,8 +3,9 @@
 Subwords are byte 3- and 4-grams of the text (A-Z in lower case, other ASCII but letters as spaces) that hold no space
 inside, hashed into 2**13 buckets. A document is the mean of its subwords' embeddings; a linear layer and a softmax
 give the languages' probabilities. Embeddings and weights are trained together, by minibatch gradient descent, on a
-bounded sample of labelled rows: at most ``PER_LANGUAGE`` of each of the ``LANGUAGES`` most frequent languages, drawn
-by a hash of doc_id. A fifth of the sample is kept for calibration: a temperature that minimises its log loss, and
+bounded sample of labelled rows: at most ``PER_LANGUAGE`` of each language and about ``SAMPLE`` in all (but one of each
+language, however many there are), drawn by a hash of doc_id. The driver holds their subwords, 6 bytes for each distinct
+one (at most 2**13 a row, so 200 MB if all texts were very long); dense rows are made for one minibatch only. A fifth of the sample is kept for calibration: a temperature that minimises its log loss, and
 the score below which a prediction is rejected: ``REJECT`` of the correct calibration rows are below it, but it is
 no more than ``REJECT_AT_MOST``, where a calibrated score says that the language is rather right than wrong.
 
@@ -30,7 +31,9 @@ from loomgraph.llm.arrow import binary, bounded_batches, mapped
 
 BITS, DIMENSIONS = 13, 16
 BUCKETS = 1 << BITS
-PER_LANGUAGE, LANGUAGES = 500, 256
+PER_LANGUAGE, SAMPLE = 500, 4000
+#: Languages of at most so many rows, by count, are broadcast with their shares of the sample.
+BROADCAST_LANGUAGES = 100_000
 REJECT, REJECT_AT_MOST = 0.001, 0.5
 UND = "und"
 
@@ -80,7 +83,31 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(shares: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 25, batch: int = 64, rate: float = 0.5, seed: int = 5) -> Model:
+@dataclass
+class Shares:
+    """Rows of subword shares, as lists of buckets and values one after the other."""
+
+    ends: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, r in enumerate(rows.tolist()):
+            own = slice(int(self.ends[r - 1]) if r else 0, int(self.ends[r]))
+            out[k, self.at[own]] = self.value[own]
+        return out
+
+    @classmethod
+    def of(cls, at: pa.ListArray, value: pa.ListArray) -> Shares:
+        n = np.diff(at.offsets.to_numpy())
+        return cls(np.cumsum(n), at.flatten().to_numpy(), value.flatten().to_numpy())
+
+
+def train(shares: Shares, labels: np.ndarray, languages: list[str], epochs: int = 25, batch: int = 64, rate: float = 0.5, seed: int = 5) -> Model:
     """SGD with momentum on softmax loss; ``labels`` are numbers of ``languages``."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(labels))
@@ -96,7 +123,7 @@ def train(shares: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
         step = rate * (1 - epoch / epochs)
         for i in range(0, len(used), batch):
             rows = rng.permutation(used)[:batch] if epoch == 0 and i == 0 else used[i : i + batch]
-            x, y = shares[rows], labels[rows]
+            x, y = shares.dense(rows), labels[rows]
             hidden = x @ embed
             error = softmax(hidden @ weight + bias)
             error[np.arange(len(y)), y] -= 1
@@ -109,7 +136,8 @@ def train(shares: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
                 p += m
         used = rng.permutation(used)
     table = embed @ weight
-    logits, y = shares[held] @ table + bias, labels[held]
+    logits = np.concatenate([shares.dense(held[i : i + batch]) @ table for i in range(0, len(held), batch)]) + bias
+    y = labels[held]
     losses = {t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
     t = min(losses, key=losses.get)
     p = softmax(logits / t)
@@ -121,40 +149,36 @@ def train(shares: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model | None:
     """Trains on rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds; null if there is none."""
     labelled = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
+    most = max(1, min(per_language, SAMPLE // len(counts)))
     # a share of each language's rows, by hash, a little above the bound; what exceeds it is cut off below
-    drawn = F.lit(False)
+    rates = docs.sparkSession.createDataFrame([(r["lang"], (most + 4 * most**0.5 + 4) / r["count"]) for r in counts], "lang string, rate double")
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    for r in counts:
-        rate = 1.2 * per_language / r["count"]
-        drawn = drawn | ((F.col("lang") == r["lang"]) & (F.lit(rate >= 1) | (uniform < rate)))
+    few = len(counts) <= BROADCAST_LANGUAGES
+    drawn = labelled.join(F.broadcast(rates) if few else rates, "lang").filter(uniform < F.col("rate"))
 
     def features(batch: pa.RecordBatch) -> dict:
         shares = subword_counts(binary(batch.column("text")))
-        found = [np.flatnonzero(s).astype(np.int32) for s in shares]
+        found = [np.flatnonzero(s).astype(np.int16) for s in shares]
         values = [s[f] for s, f in zip(shares, found, strict=True)]
         return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "at": found, "share": values}
 
-    rows = mapped(labelled.filter(drawn), features, "doc_id long, lang string, at array<int>, share array<float>", ["doc_id", "text", "lang"]).toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    langs = rows.column("lang").to_pylist()
+    rows = mapped(drawn, features, "doc_id long, lang string, at array<short>, share array<float>", ["doc_id", "text", "lang"]).toArrow()
     # of each language the rows that come first in the order of a hash, at most the bound
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], (rows.column("doc_id")[i].as_py() * 0x9E3779B97F4A7C15) & 0xFFFFFFFF))
-    taken, seen = [], {}
-    for i in order:
-        seen[langs[i]] = seen.get(langs[i], 0) + 1
-        if seen[langs[i]] <= per_language:
-            taken.append(i)
-    languages = sorted(seen)
-    shares = np.zeros((len(taken), BUCKETS), np.float32)
-    for k, i in enumerate(taken):
-        shares[k, rows.column("at")[i].as_py()] = rows.column("share")[i].as_py()
-    labels = np.array([languages.index(langs[i]) for i in taken])
+    hashed = rows.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64(0xFFFFFFFF)
+    rows = rows.append_column("hash", pa.array(hashed)).sort_by([("lang", "ascending"), ("hash", "ascending"), ("doc_id", "ascending")])
+    langs = np.array(rows.column("lang").to_pylist(), object)
+    if not langs.size:
+        return None
+    languages, first, labels = np.unique(langs.astype(str), return_index=True, return_inverse=True)
+    taken = np.flatnonzero(np.arange(labels.size) - first[labels] < most)
+    rows = rows.select(["at", "share"]).take(pa.array(taken)).combine_chunks()
+    shares = Shares.of(rows.column("at").chunk(0), rows.column("share").chunk(0))
     del rows
     pa.default_memory_pool().release_unused()
-    return train(shares, labels, languages)
+    return train(shares, labels[taken], languages.tolist())
 
 
 def judged(model: Model | None, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
