@@ -4,7 +4,8 @@ A document's set holds its distinct 5-word shingles (A-Z in lower case, words ``
 hashes; with fewer words, the whole sequence is one. Two documents are linked if ``100 * |A & B| >= 85 * |A | B|``.
 
 1. Documents with equal sets form a class; only its member with the smallest doc_id goes on, so a large group of
-   copies is one row from here on.
+   copies is one row from here on. From here on, classes are told apart by a hash of their own, which is redrawn until
+   no two share it, not by doc_id: one doc_id may have several texts.
 2. 128 MinHash values in 32 bands of 4: a pair at the threshold shares no band with probability 6e-11.
 3. Documents that share a bucket with another are candidates. Far copies of one template share buckets by thousands
    without being linked, so pairs are drawn up from the candidates' rarest shingles: by global frequency, with length
@@ -18,7 +19,7 @@ hashes; with fewer words, the whole sequence is one. Two documents are linked if
 5. Components of the confirmed links, then from classes back to documents.
 
 Cases: null and empty texts have an empty set and stay alone; a null doc_id takes no part and has a null component;
-rows with the same doc_id are judged each by its text and share a component; ties can't occur, ids being compared;
+rows with the same doc_id are judged each by its text and share a component, their classes being linked; ties can't occur, ids being compared;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -132,20 +133,29 @@ def signature(batch: pa.RecordBatch) -> dict:
     bands = mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
     odd = sketches(minima)
     of = {d: k for k, d in enumerate(full)}
-    sums = [(mix(s).sum(dtype=np.uint64), mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)) for s in sets]
+    both = np.array([sums(s) for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
     return {
         "doc_id": batch.column("doc_id"),
         "n_shingles": [s.size for s in sets],
-        "hi": np.array([a for a, _ in sums], np.uint64).view(np.int64),
-        "lo": np.array([b for _, b in sums], np.uint64).view(np.int64),
+        "hi": both[:, 0],
+        "lo": both[:, 1],
         "bands": [bands[of[i]] if i in of else None for i in range(len(sets))],
         "sketch": [odd[of[i]] if i in of else None for i in range(len(sets))],
     }
 
 
+FULL_SET = "hi long, lo long, n int, shingles array<long>"
+
+
+def sums(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set."""
+    return mix(shingles).sum(dtype=np.uint64), mix(shingles * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
+
+
 def full_sets(batch: pa.RecordBatch) -> dict:
     sets = shingle_sets(binary(batch.column("text")))
-    return {"id": batch.column("doc_id"), "n": [s.size for s in sets], "shingles": [s.view(np.int64) for s in sets]}
+    both = np.array([sums(s) for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
+    return {"hi": both[:, 0], "lo": both[:, 1], "n": [s.size for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
 
 def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -200,7 +210,7 @@ class Candidates:
 
     def __init__(self, sets: DataFrame, reps: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        self.signs = reps.select(F.col("doc_id").alias("id"), "sketch", "bands")
+        self.signs = reps.select("id", "sketch", "bands")
         self.links: list[Stage] = []
         self.tried: list[Stage] = []
 
@@ -241,24 +251,30 @@ def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     signed = Stage(mapped(docs, signature, SIGNATURE, ["doc_id", "text"]), "signatures")
     full = signed.df.filter("n_shingles > 0 and doc_id is not null")
-    classes = Stage(full.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
-    same = ["doc_id", "hi", "lo", "n_shingles"]
-    once = lambda df, key: df if unique else df.dropDuplicates([key])
+    classes, key = classed(full)
     unique = full.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    reps = once(full.join(classes.df.withColumnRenamed("class_id", "doc_id"), same, "left_semi"), "doc_id")
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    firsts = classes.df.withColumnRenamed("class_id", "doc_id")
+    reps = full.select(key.alias("id"), "doc_id", "sketch", "bands").join(firsts, ["id", "doc_id"], "left_semi")
+    banded = reps.select("id", "doc_id", F.explode("bands").alias("bucket"))
     shared = Stage(banded.groupBy("bucket").agg(F.min("id").alias("l"), F.max("id").alias("m")).filter("l <> m").select("bucket"), "buckets")
-    candidates = Stage(banded.join(shared.df, "bucket", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "candidates")
+    candidates = Stage(banded.join(shared.df, "bucket", "left_semi").select("id", "doc_id").distinct(), "candidates")
     shared.drop()
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    found_sets = mapped(only(texts, candidates.df), full_sets, "id long, n int, shingles array<long>", ["doc_id", "text"])
-    sets = Stage(once(found_sets, "id"), "sets")
+    found_sets = mapped(only(texts, candidates.df.select("doc_id")), full_sets, FULL_SET, ["doc_id", "text"])
+    found_sets = found_sets.withColumnRenamed("n", "n_shingles").select(key.alias("id"), F.col("n_shingles").alias("n"), "shingles")
+    if not unique:  # other texts of the same doc_id, and repeated rows
+        found_sets = found_sets.join(candidates.df.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = Stage(found_sets, "sets")
     members = Stage(prefixes(sets.df, percent), "prefixes")
     pivots = members.df.groupBy("token").agg(F.min(F.struct("id", "n", "place")).alias("p"))
     pivots = Stage(pivots.select("token", F.col("p.id").alias("rep"), F.col("p.n").alias("rn"), F.col("p.place").alias("rplace")), "pivots")
     found = Candidates(sets.df, reps, percent)
     found.confirm(paired(members.df, pivots.df, F.col("id") != F.col("rep"), percent))
     pivots.drop()
+    if not unique:
+        named = full.select("doc_id", key.alias("id")).distinct()
+        star = named.groupBy("doc_id").agg(F.min("id").alias("src"))
+        found.links.append(Stage(named.join(star, "doc_id").filter("id <> src").select("src", F.col("id").alias("dst")), "same-document"))
     labels = Stage(found.components(), "components")
     for most in (16, None):
         mixed = mixed_members(members.df, labels.df)
@@ -270,10 +286,13 @@ def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs.drop()
     for s in (candidates, sets, members, *found.links, *found.tried):
         s.drop()
-    by_class = signed.df.select("doc_id", "n_shingles", "hi", "lo").join(classes.df, ["hi", "lo", "n_shingles"], "left")
-    joined = by_class.join(labels.df.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
-    return joined.select(
+    placed = labels.df.join(classes.df, "id")
+    least = placed.groupBy("component").agg(F.min("class_id").alias("least"))
+    placed = placed.join(least, "component").select("id", "least")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), key)
+    by_class = signed.df.select("doc_id", "n_shingles", own.alias("id")).join(classes.df, "id", "left").join(placed, "id", "left")
+    component = F.coalesce("least", "class_id", "doc_id")
+    return by_class.select(
         "doc_id",
         "n_shingles",
         F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -282,6 +301,22 @@ def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def classed(full: DataFrame) -> tuple[Stage, Column]:
+    """(id, class_id) of the classes of equal sets, and the column that gives the class of a row of ``full``.
+
+    An id is 64 bits of the set; if two classes share one (their other 64 bits or their sizes differ), all are redrawn.
+    """
+    for salt in range(100):
+        key = F.col("hi") if not salt else F.xxhash64("hi", "lo", "n_shingles", F.lit(salt))
+        ends = [f(c).alias(f"{name}_{c}") for c in ("lo", "n_shingles") for name, f in (("least", F.min), ("most", F.max))]
+        classes = Stage(full.groupBy(key.alias("id")).agg(F.min("doc_id").alias("class_id"), *ends), "classes")
+        if classes.df.filter("least_lo <> most_lo or least_n_shingles <> most_n_shingles").isEmpty():
+            classes.df = classes.df.select("id", "class_id")
+            return classes, key
+        classes.drop()
+    raise RuntimeError("classes can't be told apart")
+
+
 def paired(members: DataFrame, offered: DataFrame, more: Column, percent: int) -> DataFrame:
     """Pairs (a, b) of members (token, id, n, place) and offered (token, rep, rn, rplace) that may be linked.
 
@@ -330,5 +365,5 @@ def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = only(docs, dropped.df, "left_anti")
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return rows
-    # repeated rows: one of them stays
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    # repeated rows: one of them stays, but each of the texts of one document
+    return rows.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(rows.filter("doc_id is null"))

@@ -246,6 +246,24 @@ def test_suffix_passages(spark, seed):
         assert left.get(i, "") == whole.decode()
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """Documents 5 and 8 have two unlike texts each; what is like either is reachable through the document."""
+    random.seed(4)
+    one, two, other, last = (" ".join(random.choices(WORDS, k=100)) for _ in range(4))
+    rows = [(5, one), (5, two), (6, one + " z"), (7, two + " z"), (8, other), (8, last), (2, last + " z"), (9, other + " z"), (9, other + " z"), (10, "alone")]
+    found = {r.doc_id: (r.component_id, r.kept) for r in neardup.find(docs(spark, [row(*r) for r in rows])).collect()}
+    assert found == {5: (5, True), 6: (5, False), 7: (5, False), 8: (2, False), 2: (2, True), 9: (2, False), 10: (10, True)}
+    kept = sorted((r.doc_id, r.text) for r in neardup.keep(docs(spark, [row(*r) for r in [*rows, (5, one)]])).collect())
+    assert kept == sorted([(5, one), (5, two), (2, last + " z"), (10, "alone")])
+
+
+def test_near_duplicate_classes_are_redrawn(spark):
+    full = spark.createDataFrame([(1, 3, 7, 7), (2, 3, 7, 8), (3, 3, 7, 7)], "doc_id long, n_shingles long, hi long, lo long")
+    classes, key = neardup.classed(full)
+    got = {r.doc_id: r.class_id for r in full.select("doc_id", key.alias("id")).join(classes.df, "id").collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_suffix_cleaned(spark):
     long = " ".join(random.Random(1).choices(WORDS, k=150))
     rows = [row(1, "alpha " + long + " omega"), row(2, "é" + long[1:] + "ü"), row(3, long), row(4, "clean"), row(None, "no id"), row(5, None)]
