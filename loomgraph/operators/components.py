@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with pointer jumping."""
+"""Connected components by alternating stars."""
 
 from __future__ import annotations
 
@@ -11,38 +11,48 @@ from loomgraph.storage import Stage
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component) of every end of ``edges`` (src, dst), taken as undirected; component is the smallest id reachable.
 
-    A round gives each vertex the least label around it, then the label of that label, so paths shorten about
-    twofold. Both joins are on light rows; labels are written to the shared folder after each round.
+    Edges lead from a greater to a lesser id. In a large star, each vertex hands its least neighbour to the greater
+    ones; in a small star, its least neighbour to the lesser ones. Both keep what is connected; many links within one
+    group soon become one link to its least vertex, so that later rounds are light. When nothing changes, every vertex
+    is linked with the least of its component only. Rounds grow with the logarithm of the number of vertices.
     """
-    both = Stage(
-        edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct(), "cc-edges"
-    )
-    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    held = Stage(ids.select("id", F.col("id").alias("component")), "cc-labels")
+    high, low = F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
+    first = edges.select(high, low).distinct()
+    alone = Stage(first.filter("u = v").select("u"), "cc-loops")
+    held, mark = watched(first.filter("u <> v"))
     for _ in range(max_rounds):
-        labels = held.df
-        near = (
-            both.df.join(labels, F.col("src") == F.col("id"))
-            .groupBy("dst")
-            .agg(F.min("component").alias("near"))
-        )
-        least = Stage(
-            labels.join(near, F.col("id") == F.col("dst"), "left").select(
-                "id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("to")
-            ),
-            "cc-least",
-        )
-        target = least.df.select(F.col("id").alias("t"), F.col("to").alias("jump"))
-        seen = Observation()
-        jumped = least.df.join(target, F.col("to") == F.col("t")).select("id", "was", F.least("to", "jump").alias("component"))
-        moved = Stage(jumped.observe(seen, F.count_if(F.col("component") != F.col("was")).alias("changed")), "cc-labels")
-        changed = seen.get["changed"]
-        held.drop()
-        least.drop()
-        held = moved
-        if not changed:
+        was = mark
+        for star in (large_star, small_star):
+            new, mark = watched(star(held.df))
+            held.drop()
+            held = new
+        if mark == was:
             break
     else:
-        raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    both.drop()
-    return held.df.select("id", "component")
+        raise RuntimeError(f"links still change after {max_rounds} rounds")
+    linked = held.df.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    own = held.df.select("v").union(alone.df.join(held.df.select("u"), "u", "left_anti")).distinct()
+    return linked.unionByName(own.select(F.col("v").alias("id"), F.col("v").alias("component")))
+
+
+def watched(links: DataFrame) -> tuple[Stage, tuple]:
+    """The links (u, v) as a table, with their number and the sum of their hashes, by which a change is seen."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total")
+    held = Stage(links.observe(seen, F.count("*").alias("n"), total), "cc-links")
+    return held, (seen.get["n"], seen.get["total"])
+
+
+def large_star(links: DataFrame) -> DataFrame:
+    """Each vertex's greater neighbours, linked with its least neighbour or itself, whichever is less."""
+    both = links.select(F.col("v").alias("id"), F.col("v").alias("near")).union(links.select("u", "v"))
+    least = both.groupBy("id").agg(F.min("near").alias("least"))
+    return links.join(least, F.col("v") == F.col("id")).select("u", F.col("least").alias("v")).distinct()
+
+
+def small_star(links: DataFrame) -> DataFrame:
+    """Each vertex and its lesser neighbours, linked with the least of them."""
+    least = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("least"))
+    met = links.join(least, F.col("u") == F.col("id"))
+    moved = met.select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
+    return least.select(F.col("id").alias("u"), F.col("least").alias("v")).union(moved).distinct()

@@ -1,7 +1,7 @@
 """Shared storage for intermediate results: lineage is cut here and nowhere else.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is unset
-(tests on one machine) is a temporary folder made and set.
+and the master is local (tests on one machine) is a temporary folder made and set; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if not current.isDefined():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
