@@ -127,7 +127,8 @@ def select(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of ``docs`` (all columns, and ``epoch`` from 0), each as many times as it is taken.
+    """The rows of ``docs`` (all columns, and ``mix_epoch`` from 0, in place of a column of that name), each as many
+    times as it is taken.
 
     Texts aren't shuffled: each row is compared with its leaf's bound where it is read.
     """
@@ -135,7 +136,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     leaved = plan(Stage(with_leaves(docs), "mix-tokens").df, mix)
     taken = take(with_leaves(rows, "row"), leaved, mix)
     epoch = F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("mix_epoch")
-    return taken.select("row.*", epoch)
+    kept = [F.col(f"row.`{c}`") for c in docs.schema.names if c.lower() != "mix_epoch"]
+    return taken.select(*kept, epoch)
 
 
 def with_leaves(docs: DataFrame, *carried: str) -> DataFrame:

@@ -237,11 +237,16 @@ class Candidates:
         likely.drop()
         ids.drop()
 
-    def components(self) -> DataFrame:
+    def components(self) -> Stage:
+        """Components of all links; from then on, links to each component's least vertex stand for them."""
         links = self.links[0].df
         for more in self.links[1:]:
             links = links.unionByName(more.df)
-        return connected_components(links)
+        found = Stage(connected_components(links), "components")
+        for s in self.links:
+            s.drop()
+        self.links = [Stage(found.df.filter("id <> component").select(F.col("id").alias("src"), F.col("component").alias("dst")), "links")]
+        return found
 
 
 def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -275,13 +280,14 @@ def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         named = full.select("doc_id", key.alias("id")).distinct()
         star = named.groupBy("doc_id").agg(F.min("id").alias("src"))
         found.links.append(Stage(named.join(star, "doc_id").filter("id <> src").select("src", F.col("id").alias("dst")), "same-document"))
-    labels = Stage(found.components(), "components")
+    labels = found.components()
     for most in (16, None):
         mixed = mixed_members(members.df, labels.df)
         pairs = Stage(across(mixed.df, most, percent), "across")
         if not pairs.df.isEmpty():
             found.confirm(pairs.df)
-            labels = Stage(found.components(), "components")
+            labels.drop()
+            labels = found.components()
         mixed.drop()
         pairs.drop()
     for s in (candidates, sets, members, *found.links, *found.tried):

@@ -1,6 +1,7 @@
 """Near-duplicates, top-k and suffix dedup against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -140,8 +141,9 @@ def test_top_k_against_brute_force(spark, seed, monkeypatch):
     found = {}
     for r in topk.search(df, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    rows[-1] = (1120, [-float(1 << 28) / 64, 1.0, 0.0, 0.0])
-    assert found == brute_top(rows, 5, lambda i: i % 20 == 0)
+    held = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    expected = brute_top(rows, 5, lambda i: i % 20 == 0)
+    assert found == {q: [(i, held(s)) for i, s in best] for q, best in expected.items()}
 
 
 def test_top_k_small_and_empty(spark):
@@ -264,6 +266,20 @@ def test_near_duplicate_classes_are_redrawn(spark):
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+def test_top_k_of_large_components_and_other_lengths(spark):
+    rows = [(0, [1.0, 1.0]), (1, [6e6, 0.0]), (2, [5e6, 0.0]), (3, [7e6, -1.0]), (4, [1.0, 1.0, 1.0]), (20, [2.0, 0.0, 5.0]), (40, [3e12, 1.0]), (41, [9e12, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for least in (0, 10**9):  # in double precision, in 64 bits
+        own = [(i, v) for i, v in rows if i < 40 or least]
+        found = topk.search(table.filter(F.col("vec_id") < 40) if not least else table, F.col("vec_id") % 20 == 0).collect()
+        expected = []
+        for q, x in own:
+            if q % 20 == 0:
+                scores = [(-sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(x, y, strict=True)), i) for i, y in own if i != q and len(x) == len(y)]
+                expected += [(q, r + 1, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for r, (s, i) in enumerate(sorted(scores)[:20])]
+        assert sorted(tuple(r) for r in found) == sorted(expected)
+
+
 def test_suffix_cleaned(spark):
     long = " ".join(random.Random(1).choices(WORDS, k=150))
     rows = [row(1, "alpha " + long + " omega"), row(2, "é" + long[1:] + "ü"), row(3, long), row(4, "clean"), row(None, "no id"), row(5, None)]
