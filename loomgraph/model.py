@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import owner
+from loomgraph.storage import staged
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    """(id) of the ends of edges."""
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+
 
 VERTEX_SCHEMA = T.StructType([T.StructField("id", T.LongType(), False)])
 EDGE_SCHEMA = T.StructType(
@@ -31,6 +38,8 @@ class Graph:
 
     vertices: DataFrame
     edges: DataFrame
+    #: The vertices are the ends of the edges.
+    implicit: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -42,9 +51,14 @@ class Graph:
         weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"))
         if vertices is None:
-            vertices = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+            return cls(ends(e), e, True)
         return cls(vertices.select(F.col("id").cast("long").alias("id")), e)
 
+    def staged(self) -> Graph:
+        """The same graph, written once to the shared folder: what is derived from it doesn't derive it again."""
+        e = staged(self.edges, "edges")
+        return Graph(staged(ends(e) if self.implicit else self.vertices, "vertices"), e, self.implicit)
+
     def one_based(self) -> Graph:
         """Adds 1 to every id if the smallest source is 0."""
         least = self.edges.agg(F.min("src")).first()[0]
@@ -97,7 +111,8 @@ class Graph:
     def partitioned(self, parts: int | None = None) -> Graph:
         """Edges dealt and sorted by source and held (memory, then disk): supersteps shuffle vertices and messages only."""
         n = parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return Graph(self.vertices, self.edges.repartition(n, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK))
+        held = self.edges.repartition(n, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+        return Graph(ends(held) if self.implicit else self.vertices, held, self.implicit)
 
     def release(self) -> None:
         self.edges.unpersist()

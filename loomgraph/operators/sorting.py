@@ -25,13 +25,23 @@ def ordered(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.orderBy(*keys)
 
 
-def positions(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+#: Rows of one range, about.
+RANGE_ROWS = 1_000_000
+
+
+def positions(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
     """``rows`` with ``position`` from 1 in the global order, without sorting everything in one task.
 
-    Rows are dealt by range; a partition's rows count on from the sum of those before it (one number a partition).
+    Rows are dealt by range, without ``parts`` into as many as their number asks for; a partition's rows count on from
+    the sum of those before it (one number a partition). Equal keys go by where the rows were read, so that they
+    needn't share a partition.
     """
+    if parts is None:
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    keys = (*keys, "__tie")
     # written once: a second evaluation might sample other bounds
-    dealt = Stage(rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranges").df
+    dealt = Stage(tied.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranges").df
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     upto = sizes.select(
         "__part", (F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))).alias("__before")
@@ -41,7 +51,7 @@ def positions(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
         dealt.withColumn("__place", place)
         .join(F.broadcast(upto), "__part")  # as many rows as parts
         .withColumn("position", F.coalesce("__before", F.lit(0)) + F.col("__place"))
-        .drop("__part", "__place", "__before")
+        .drop("__part", "__place", "__before", "__tie")
     )
 
 

@@ -100,6 +100,18 @@ def upsert_predecessors(cache: DataFrame, sent: DataFrame) -> DataFrame:
     return cache.join(new, ["dst", "src"], "left_anti").select("dst", "src", "value", "weight").unionByName(new)
 
 
+def received(sent: DataFrame, parts: int) -> DataFrame:
+    """(part, src, value, targets): each source once at each partition that got messages from it, with its targets there."""
+    here = sent.groupBy(F.pmod("dst", F.lit(parts)).cast("int").alias("part"), "src")
+    return here.agg(F.first("value").alias("value"), F.collect_list(F.struct("dst", "weight")).alias("targets"))
+
+
+def map_received(vertices: DataFrame) -> DataFrame:
+    """(part, key, skey, value): a pair for each target of a received vertex, its value with the edge's weight added."""
+    one = vertices.select("part", "src", "value", F.explode("targets").alias("t"))
+    return one.select("part", F.col("t.dst").alias("key"), F.col("src").alias("skey"), (F.col("value") + F.col("t.weight")).alias("value"))
+
+
 def touched(vertices: DataFrame, sent: DataFrame) -> DataFrame:
     """The vertices that got a message; the others needn't be computed."""
     return vertices.join(sent.select(F.col("dst").alias("id")), "id", "left_semi")
@@ -144,7 +156,7 @@ def run(graph: Graph, program: VertexProgram) -> Result:
     """Supersteps until no vertex is active or ``max_supersteps`` are done."""
     began = time.monotonic()
     held_graph = graph.partitioned()
-    n = graph.vertices.count()
+    n = held_graph.vertices.count()
     state = Stage(initial(held_graph, program, n), "vertices")
     every = held_graph.edges.count() if not program.frontier else None
     metrics: list[dict] = []

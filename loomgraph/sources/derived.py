@@ -1,4 +1,4 @@
-"""Graphs made of order tables: parts that follow each other, parts ordered together, a sparse weighted one."""
+"""Graphs made of order tables: parts that follow each other (plain, priced, and a sparse one), parts ordered together."""
 
 from __future__ import annotations
 
@@ -27,8 +27,8 @@ def ordered_together(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(held.withColumnRenamed("l_partkey", "src").join(other, "l_orderkey").filter("src <> dst").select("src", "dst").distinct())
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> Graph:
-    """Next lines of which both have a quantity above 40; the weight is the least price of the first one."""
+def priced(spark: SparkSession, sf_dir: str, above: float | None = None) -> Graph:
+    """Next lines, weighted by the least price of the first one; with ``above``, only if both quantities exceed it."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     pairs = lines(spark, sf_dir).select(
         F.col("l_partkey").alias("src"),
@@ -37,5 +37,12 @@ def sparse(spark: SparkSession, sf_dir: str) -> Graph:
         F.lead("l_quantity").over(order).alias("next_q"),
         F.col("l_extendedprice").alias("price"),
     )
-    kept = pairs.filter("dst is not null and src <> dst and q > 40 and next_q > 40")
+    kept = pairs.filter("dst is not null and src <> dst")
+    if above is not None:
+        kept = kept.filter((F.col("q") > above) & (F.col("next_q") > above))
     return Graph.from_edges(kept.groupBy("src", "dst").agg(F.min("price").alias("weight")))
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> Graph:
+    """Priced next lines of which both have a quantity above 40: many components, deep paths."""
+    return priced(spark, sf_dir, 40)
