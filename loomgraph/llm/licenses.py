@@ -1,6 +1,8 @@
 """License scan: phrase places and an exact set-similarity join with license templates. DataFrame functions only.
 
-The join finds every block (line) B of a text and every template T with ``|B & T| >= threshold * |T|``:
+The join finds every block B of a text and every template T with ``|B & T| >= threshold * |T|``. Blocks are the groups
+of consecutive lines, from each line on, that a template takes up where texts are wrapped: one line for templates of up
+to ten words, more for longer ones. The tokens of each line are found once; a group's are those of its lines.
 
 * tokens are ordered by their frequency in the whole corpus, rarest first;
 * prefix filter: if the overlap must reach ``o = ceil(threshold * |T|)``, then one of the first ``|T| - o + 1``
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +33,43 @@ from loomgraph.llm.text import alnum_words, ascii_lower
 # The phrases and labels that a scan always looks for.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Opening sentences of well-known licenses and the labels that the join adds.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+@dataclass(frozen=True)
+class Template:
+    """A notice and the label that it stands for; ``lines``, if given, is the number of lines that it may take up."""
+
+    label: str
+    text: str
+    lines: int = 0
+
+    @property
+    def block(self) -> int:
+        n = len(tokens(self.text))
+        return self.lines or (1 if n <= LINE_WORDS else 1 + math.ceil(n / LINE_WORDS))
+
+
+#: Words of a wrapped line, at least.
+LINE_WORDS = 10
+
+# Titles, headers and opening sentences of well-known licenses, and the labels that the join adds.
+TEMPLATES = (
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    Template("apache-2.0", "Apache License Version 2.0, January 2004", 3),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    Template("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
+    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    Template("creative-commons", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    Template("gpl", "free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version"),
+    Template("gpl-3.0", "GNU General Public License Version 3, 29 June 2007", 3),
+    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("lgpl", "GNU Lesser General Public License", 2),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    Template("mit", "Released under the MIT License"),
+    Template("mpl-2.0", "Mozilla Public License Version 2.0", 2),
+    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain"),
+)
 THRESHOLD = 0.9
 
 
@@ -85,26 +115,27 @@ def token_order(texts: DataFrame, vocabulary: Sequence[str]) -> list[str]:
 def scan(
     docs: DataFrame,
     phrases: Mapping[str, str] = PHRASES,
-    templates: Mapping[str, str] = TEMPLATES,
+    templates: Mapping[str, str] | Sequence[Template] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text).
 
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches. ``matches`` holds
-    (label, block, overlap, containment) for each qualifying block; ``score`` is the largest containment, 1 where a
+    (label, block, overlap, containment) for each qualifying block, ``block`` being its first line; ``score`` is the largest containment, 1 where a
     base phrase stands, else 0.
     """
     base = {tuple(tokens(p)): label for p, label in phrases.items()}
-    sets = {label: sorted(set(tokens(t))) for label, t in templates.items()}
-    sets = {label: s for label, s in sets.items() if s}
-    vocabulary = sorted({t for s in sets.values() for t in s})
+    listed = [Template(*t) for t in templates.items()] if isinstance(templates, Mapping) else templates
+    sets = {t: sorted(set(tokens(t.text))) for t in listed}
+    sets = {t: own for t, own in sets.items() if own}
+    vocabulary = sorted({token for own in sets.values() for token in own})
     texts = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("lowered"))
     texts = texts.withColumn("words", alnum_words(F.col("lowered")))
-    rank = {t: i for i, t in enumerate(token_order(texts, vocabulary))}
+    rank = {token: i for i, token in enumerate(token_order(texts, vocabulary))}
 
-    ordered = {label: sorted(s, key=rank.__getitem__) for label, s in sets.items()}
-    prefix = {label: s[: len(s) - needed(len(s), threshold) + 1] for label, s in ordered.items()}
-    alphabet = sorted({t for p in prefix.values() for t in p})
+    ordered = {t: sorted(own, key=rank.__getitem__) for t, own in sets.items()}
+    prefix = {t: own[: len(own) - needed(len(own), threshold) + 1] for t, own in ordered.items()}
+    alphabet = sorted({token for own in prefix.values() for token in own})
 
     none = F.array().cast("array<int>")
     for k, phrase in enumerate(base):
@@ -116,37 +147,42 @@ def scan(
         F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, label in enumerate(base.values())])
     )
 
-    block = "struct<label:string,block:int,overlap:int,containment:double>"
-    cut = F.split("lowered", "\n")
+    block = "array<struct<label:string,block:int,overlap:int,containment:double>>"
+    nothing = F.array().cast(block)
 
-    def block_matches(line: Column, number: Column) -> Column:
-        # an array of one, so that the block's token set is made once
-        own = F.array(F.array_distinct(alnum_words(line)))
-        return F.flatten(F.transform(own, lambda b: F.array_compact(F.array(*[judged(b, number, x) for x in ordered]))))
-
-    def judged(b: Column, number: Column, label: str) -> Column:
-        full, least = ordered[label], needed(len(ordered[label]), threshold)
+    def judged(b: Column, number: Column, t: Template) -> Column:
+        full, least = ordered[t], needed(len(ordered[t]), threshold)
         first = F.lit(None).cast("int")
-        for p, t in reversed(list(enumerate(prefix[label]))):
-            first = F.when(F.array_contains(b, t), F.lit(p)).otherwise(first)
+        for p, token in reversed(list(enumerate(prefix[t]))):
+            first = F.when(F.array_contains(b, token), F.lit(p)).otherwise(first)
         overlap = F.size(F.array_intersect(b, strings(full)))
         passes = (F.size(b) >= least) & first.isNotNull() & (len(full) - first >= least)
         return F.when(
             passes & (overlap >= least),
             F.struct(
-                F.lit(label).alias("label"),
+                F.lit(t.label).alias("label"),
                 number.alias("block"),
                 overlap.alias("overlap"),
                 (overlap.cast("double") / len(full)).alias("containment"),
             ),
         )
 
+    def found(t: Template) -> Column:
+        """The blocks that meet the template, sought only where a text holds one of its prefix tokens."""
+        if t.block == 1:
+            own = F.transform("lines", lambda line, i: judged(line, i, t))
+        else:
+            # an array of one, so that the block's token set is made once
+            group = lambda i: F.array(F.array_distinct(F.flatten(F.slice("lines", i + 1, F.lit(t.block)))))
+            own = F.flatten(F.transform("lines", lambda line, i: F.transform(group(i), lambda b: judged(b, i, t))))
+        return F.when(F.arrays_overlap("words", strings(prefix[t])), F.array_compact(own)).otherwise(nothing)
+
     if ordered:
-        matches = F.when(
-            F.arrays_overlap("words", strings(alphabet)), F.flatten(F.transform(cut, block_matches))
-        ).otherwise(F.array().cast(f"array<{block}>"))
+        lines = F.transform(F.split("lowered", "\n"), lambda line: F.array_distinct(alnum_words(line)))
+        texts = texts.withColumn("lines", F.when(F.arrays_overlap("words", strings(alphabet)), lines))
+        matches = F.when(F.col("lines").isNotNull(), F.concat(*[found(t) for t in ordered])).otherwise(nothing)
     else:
-        matches = F.array().cast(f"array<{block}>")
+        matches = nothing
     own = F.transform("matches", lambda m: m["label"])
     return (
         texts.withColumn("at", at)

@@ -105,18 +105,20 @@ def license_scan() -> str:
         at.append(f"list_filter(range(0, len(w) - {len(own) - 1}), lambda i: {same})")
         base.append(f"case when len(at{k}) > 0 then '{label}' end")
     templates = []
-    for label, text in licenses.TEMPLATES.items():
-        own = sorted(set(licenses.tokens(text)))
+    for template in licenses.TEMPLATES:
+        own = sorted(set(licenses.tokens(template.text)))
         listed = ", ".join(f"'{t}'" for t in own)
-        templates.append(f"('{label}', [{listed}], {licenses.needed(len(own), licenses.THRESHOLD)})")
+        templates.append(f"('{template.label}', {template.block}, [{listed}], {licenses.needed(len(own), licenses.THRESHOLD)})")
     return f"""
 with d as materialized (select doc_id, {lowered("text")} as t from documents),
 w as materialized (select doc_id, t, {words("t", ALNUM)} as w from d),
 a as materialized (select doc_id, len(w) as n_words, {", ".join(f"{x} as at{k}" for k, x in enumerate(at))} from w),
 b as (select *, {" || ".join(f"at{k}" for k in range(len(at)))} as places, list_sort(list_distinct(list_filter([{", ".join(base)}], lambda x: x is not null))) as base from a),
-t as materialized (select * from (values {", ".join(templates)}) v(label, own, least)),
-l as (select doc_id, list_distinct({words("line", ALNUM)}) as b from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
-m as (select l.doc_id, t.label, len(list_intersect(l.b, t.own)) / len(t.own)::double as score from l, t where len(list_intersect(l.b, t.own)) >= t.least),
+t as materialized (select * from (values {", ".join(templates)}) v(label, n, own, least)),
+x as materialized (select doc_id, string_split(t, chr(10)) as x from d),
+y as (select doc_id, n, x, unnest(range(1, len(x) + 1)) as i from x, (select distinct n from t)),
+l as (select doc_id, n, list_distinct({words("array_to_string(x[i:i + n - 1], chr(10))", ALNUM)}) as b from y),
+m as (select l.doc_id, t.label, len(list_intersect(l.b, t.own)) / len(t.own)::double as score from l join t on l.n = t.n where len(list_intersect(l.b, t.own)) >= t.least),
 g as (select doc_id, list(distinct label) as own, max(score) as score from m group by doc_id)
 select b.doc_id, n_words, len(places) as n_base, list_min(places) as first_word, list_max(places) as last_word, array_to_string(base, ',') as base_labels,
   array_to_string(list_sort(list_distinct(base || coalesce(g.own, []))), ',') as labels,

@@ -115,6 +115,53 @@ def test_license_scan(spark):
     assert licenses.scan(plain(spark, [])).count() == 0
 
 
+# Beginnings of license texts as they are shipped.
+SHIPPED = {
+    "mit": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "bsd-3-clause": """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/""",
+    "gpl": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "gpl-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+
+
+def test_shipped_licenses(spark):
+    names, pairs = {}, []
+    for k, (label, text) in enumerate(SHIPPED.items()):
+        for n, form in enumerate((text, "x y\n" * 50 + text + "\nz" * 50, text.replace("\n", "\n# "), text.replace("\n", " ") + "\r\n")):
+            names[10 * k + n] = label
+            pairs.append((10 * k + n, form))
+    pairs += [(900, "Released under the MIT License.\nx"), (901, "permission is free\nof charge, hereby"), (902, "Apache\n" + "v\n" * 9 + "License Version 2.0, January 2004")]
+    pairs += [(900, "Released under the MIT License.\nx")]  # a repeated row
+    rows = licenses.scan(plain(spark, pairs)).collect()
+    found = {r.doc_id: r.labels.split(",") for r in rows}
+    assert all(label in found[i] for i, label in names.items()), {i: found[i] for i, label in names.items() if label not in found[i]}
+    assert found[900] == ["mit"] and found[901] == [""] and "apache-2.0" not in found[902]
+    assert len(rows) == len(pairs)
+
+
 def test_license_join_against_all_pairs(spark):
     random.seed(8)
     vocabulary = [f"t{i}" for i in range(14)]
