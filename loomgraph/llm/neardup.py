@@ -11,8 +11,8 @@ hashes; with fewer words, the whole sequence is one. Two documents are linked if
    without being linked, so pairs are drawn up from the candidates' rarest shingles: by global frequency, with length
    and positional filters, which lose no linked pair (see :func:`prefixes`). Each shingle links its holders to the
    smallest one (a star, not all pairs). Then, where holders are in different components, they are paired across
-   components: first with at most 16 holders of each component, in the end with all. Pairs within one component are
-   never needed. Pairs without a common band are dropped.
+   components, at the first shingle of theirs that they share: first with at most 16 holders of each component, in
+   the end with all. Pairs within one component are never needed. Pairs without a common band are dropped.
 4. Odd sketches: the 128 (place, MinHash) samples are folded into 512 parity bits. The population count of the XOR of
    two sketches estimates how many samples differ, hence the similarity. Pairs estimated below the threshold by more
    than six standard deviations are dropped; all others are confirmed on their full sets.
@@ -342,27 +342,37 @@ def mixed_members(members: DataFrame, labels: DataFrame) -> Stage:
     named = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     held = Stage(named, "labelled")
     mixed = Stage(held.df.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m"), "mixed")
-    out = Stage(held.df.join(mixed.df.select("token"), "token", "left_semi"), "mixed-members")
+    out = held.df.join(mixed.df.select("token"), "token", "left_semi")
+    # a pair is drawn at the first token that both hold only: "before" are a member's tokens in front of this one
+    own = F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own")
+    lists = out.groupBy("id", "n", "label").agg(own).select("id", "n", "label", "own", F.posexplode("own").alias("at", "t"))
+    before = F.slice(F.col("own.token"), 1, F.col("at"))
+    out = Stage(lists.select(F.col("t.token").alias("token"), "id", "n", F.col("t.place").alias("place"), "label", before.alias("before")), "mixed-members")
     held.drop()
     mixed.drop()
     return out
 
 
 def across(members: DataFrame, most: int | None, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels of a token's members.
+    """Pairs (a, b) with different labels of a token's members, each once.
 
     With ``most``, each label offers at most so many of a token's members, the smallest of each residue class of a
-    hash; else all members, except that those of the token's largest label aren't paired from their side again.
+    hash, and only these are paired; else all members are, but not two of the token's largest label.
     """
     if most:
-        chosen = members.groupBy("token", "label", F.pmod(F.hash("id"), F.lit(most))).agg(F.min(F.struct("id", "n", "place")).alias("p"))
-        offered = chosen.select("token", "label", F.col("p.id").alias("rep"), F.col("p.n").alias("rn"), F.col("p.place").alias("rplace"))
+        whole = F.struct("id", "n", "place", "before")
+        chosen = members.groupBy("token", "label", F.pmod(F.hash("id"), F.lit(most))).agg(F.min_by(whole, "id").alias("p"))
+        mine = offered = chosen.select("token", "label", "p.*")
+        once = F.col("id") < F.col("rep")
     else:
         sizes = members.groupBy("token", "label").count()
         largest = sizes.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", "top.label")
-        offered = members.join(largest, ["token", "label"], "left_anti").withColumnsRenamed({"id": "rep", "n": "rn", "place": "rplace"})
-    offered = offered.withColumnRenamed("label", "own")
-    return paired(members, offered, F.col("label") != F.col("own"), percent)
+        offered = members.join(largest, ["token", "label"], "left_anti")
+        mine = members.join(largest.withColumnRenamed("label", "top"), "token")
+        once = (F.col("label") == F.col("top")) | (F.col("id") < F.col("rep"))
+    offered = offered.withColumnsRenamed({"id": "rep", "n": "rn", "place": "rplace", "label": "own", "before": "rbefore"})
+    first = ~F.arrays_overlap("before", "rbefore")
+    return paired(mine, offered, (F.col("label") != F.col("own")) & once & first, percent)
 
 
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
