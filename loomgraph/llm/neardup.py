@@ -11,8 +11,9 @@ hashes; with fewer words, the whole sequence is one. Two documents are linked if
    without being linked, so pairs are drawn up from the candidates' rarest shingles: by global frequency, with length
    and positional filters, which lose no linked pair (see :func:`prefixes`). Each shingle links its holders to the
    smallest one (a star, not all pairs). Then, where holders are in different components, they are paired across
-   components, at the first shingle of theirs that they share: first with at most 16 holders of each component, in
-   the end with all. Pairs within one component are never needed. Pairs without a common band are dropped.
+   components, at the first shingle of theirs that they share: with 16 of the shingle's holders, then, fewer being left
+   outside the large components, with 64 and so on, and in the end, when that is no more work, with all. Pairs within
+   one component are never needed. Pairs without a common band are dropped.
 4. Odd sketches: the 128 (place, MinHash) samples are folded into 512 parity bits. The population count of the XOR of
    two sketches estimates how many samples differ, hence the similarity. Pairs estimated below the threshold by more
    than six standard deviations are dropped; all others are confirmed on their full sets.
@@ -39,6 +40,8 @@ BANDS, ROWS, SKETCH_LONGS = 32, 4, 8
 SAMPLES, BITS = BANDS * ROWS, SKETCH_LONGS * 64
 #: Id lists of at most so many rows, by count, are broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Holders of a shingle that its others are compared with in the first turn; a matter of cost, not of results.
+PIVOTS = 16
 
 _random = np.random.default_rng(20240229)
 _TABLE = _random.integers(0, 1 << 64, 256, np.uint64)
@@ -281,15 +284,21 @@ def find(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         star = named.groupBy("doc_id").agg(F.min("id").alias("src"))
         found.links.append(Stage(named.join(star, "doc_id").filter("id <> src").select("src", F.col("id").alias("dst")), "same-document"))
     labels = found.components()
-    for most in (16, None):
+    pivots = PIVOTS
+    while True:
         mixed = mixed_members(members.df, labels.df)
-        pairs = Stage(across(mixed.df, most, percent), "across")
+        work, rows = outstanding(mixed.df)
+        last = work <= pivots * rows
+        pairs = Stage(across(mixed.df, percent) if last else to_pivots(mixed.df, pivots, percent), "across")
         if not pairs.df.isEmpty():
             found.confirm(pairs.df)
             labels.drop()
             labels = found.components()
         mixed.drop()
         pairs.drop()
+        if last:
+            break
+        pivots *= 4
     for s in (candidates, sets, members, *found.links, *found.tried):
         s.drop()
     placed = labels.df.join(classes.df, "id")
@@ -343,34 +352,57 @@ def mixed_members(members: DataFrame, labels: DataFrame) -> Stage:
     held = Stage(named, "labelled")
     mixed = Stage(held.df.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m"), "mixed")
     out = held.df.join(mixed.df.select("token"), "token", "left_semi")
-    # a pair is drawn at the first token that both hold only: "before" are a member's tokens in front of this one
-    own = F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own")
-    lists = out.groupBy("id", "n", "label").agg(own).select("id", "n", "label", "own", F.posexplode("own").alias("at", "t"))
-    before = F.slice(F.col("own.token"), 1, F.col("at"))
-    out = Stage(lists.select(F.col("t.token").alias("token"), "id", "n", F.col("t.place").alias("place"), "label", before.alias("before")), "mixed-members")
+    out = Stage(with_before(out), "mixed-members")
     held.drop()
     mixed.drop()
     return out
 
 
-def across(members: DataFrame, most: int | None, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels of a token's members, each once.
+def with_before(members: DataFrame) -> DataFrame:
+    """Members (token, id, n, place, label) with "before": the tokens in front of this one in the member's own rows.
+
+    A pair is drawn at the first token that both hold only, so each pair is drawn once.
+    """
+    own = F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own")
+    lists = members.groupBy("id", "n", "label").agg(own).select("id", "n", "label", "own", F.posexplode("own").alias("at", "t"))
+    before = F.slice(F.col("own.token"), 1, F.col("at"))
+    return lists.select(F.col("t.token").alias("token"), "id", "n", F.col("t.place").alias("place"), "label", before.alias("before"))
+
+
+def outstanding(members: DataFrame) -> tuple[float, int]:
+    """A bound of the pairs that :func:`across` draws, and the number of members."""
+    sizes = members.groupBy("token", "label").agg(F.count("*").cast("double").alias("c"))
+    tokens = sizes.groupBy("token").agg(F.sum("c").alias("all"), F.max("c").alias("top"))
+    found = tokens.agg(F.sum(F.col("all") * (F.col("all") - F.col("top"))), F.sum("all")).first()
+    return found[0] or 0.0, int(found[1] or 0)
+
+
+def offering(offered: DataFrame) -> DataFrame:
+    return offered.withColumnsRenamed({"id": "rep", "n": "rn", "place": "rplace", "label": "own", "before": "rbefore"})
+
+
+def to_pivots(members: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with different labels of a token's members and at most so many of them.
+
+    Tokens choose by a hash of the id, so that tokens with much the same members choose much the same pivots.
+    """
+    drawn = F.xxhash64("id", F.lit(pivots))
+    least = F.min_by(F.struct("id", "n", "place", "label"), drawn).alias("p")
+    chosen = members.groupBy("token", F.pmod(drawn, F.lit(pivots)).alias("part")).agg(least).select("token", "p.*")
+    first = ~F.arrays_overlap("before", "rbefore")
+    return paired(members, offering(with_before(chosen)), (F.col("label") != F.col("own")) & first, percent)
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) with different labels of a token's members, each once.
 
-    With ``most``, each label offers at most so many of a token's members, the smallest of each residue class of a
-    hash, and only these are paired; else all members are, but not two of the token's largest label.
+    A token's members are joined with those that don't have its largest label.
     """
-    if most:
-        whole = F.struct("id", "n", "place", "before")
-        chosen = members.groupBy("token", "label", F.pmod(F.hash("id"), F.lit(most))).agg(F.min_by(whole, "id").alias("p"))
-        mine = offered = chosen.select("token", "label", "p.*")
-        once = F.col("id") < F.col("rep")
-    else:
-        sizes = members.groupBy("token", "label").count()
-        largest = sizes.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", "top.label")
-        offered = members.join(largest, ["token", "label"], "left_anti")
-        mine = members.join(largest.withColumnRenamed("label", "top"), "token")
-        once = (F.col("label") == F.col("top")) | (F.col("id") < F.col("rep"))
-    offered = offered.withColumnsRenamed({"id": "rep", "n": "rn", "place": "rplace", "label": "own", "before": "rbefore"})
+    sizes = members.groupBy("token", "label").count()
+    largest = sizes.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top")).select("token", "top.label")
+    offered = offering(members.join(largest, ["token", "label"], "left_anti"))
+    mine = members.join(largest.withColumnRenamed("label", "top"), "token")
+    once = (F.col("label") == F.col("top")) | (F.col("id") < F.col("rep"))
     first = ~F.arrays_overlap("before", "rbefore")
     return paired(mine, offered, (F.col("label") != F.col("own")) & once & first, percent)
 
