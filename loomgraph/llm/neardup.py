@@ -26,6 +26,8 @@ further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -220,8 +222,8 @@ class Candidates:
     def confirm(self, pairs: DataFrame) -> None:
         """``pairs``: (a, b) of representatives, a < b."""
         fresh = pairs.distinct()
-        for t in self.tried:
-            fresh = fresh.join(t.df, ["a", "b"], "left_anti")
+        if self.tried:
+            fresh = fresh.join(reduce(DataFrame.union, [t.df for t in self.tried]), ["a", "b"], "left_anti")
         now = Stage(fresh, "pairs")
         self.tried.append(now)
         ids = Stage(now.df.select(F.col("a").alias("id")).union(now.df.select("b")).distinct(), "pair-ids")

@@ -83,6 +83,26 @@ def test_near_duplicates_cross_rounds(spark):
     assert {r.doc_id: r.component_id for r in found} == label
 
 
+def test_near_duplicates_pivot_turns(spark, monkeypatch):
+    # one group of copies around the threshold, of which each is linked with some of the others only
+    random.seed(4)
+    base = [random.choice(WORDS) + str(i) for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in random.sample(range(150), random.choice((1, 2, 3))):
+            words[at] = random.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    label, _ = brute_components(rows)
+    assert 1 < len(set(label.values())) < 60
+    turns, to_pivots = [], neardup.to_pivots
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "to_pivots", lambda m, pivots, percent: turns.append(pivots) or to_pivots(m, pivots, percent))
+    found = neardup.find(docs(spark, [row(*r) for r in rows])).collect()
+    assert {r.doc_id: r.component_id for r in found} == label
+    assert turns[:1] == [1]
+
+
 def test_near_duplicates_repeated_rows_nulls_and_empty(spark):
     same = "one two three four five six seven"
     rows = [row(3, same), row(3, same), row(4, same), row(None, same), row(5, "x " * 30000)]
