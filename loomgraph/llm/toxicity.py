@@ -18,7 +18,8 @@ broadcast if they are few, by count, and joined by shuffle if not.
 
 A document's 5-gram ratios are compared per symbol, over the whole text and over its words, its word ratios by the
 highest ones and by how many are high; a logistic layer turns these into a score. It is fitted on labelled rows that
-the class counts don't include (a fourth of those allowed), at most ``CALIBRATION`` of them, drawn by hash.
+the class counts don't include (a fourth of those allowed), at most ``CALIBRATION`` of them, drawn by hash; then the
+class counts are completed by those rows, and scores use the ratios of all labelled rows allowed.
 
 Cases: null and empty texts have ratio 0 and get the logistic layer's value for that; without labelled rows of both
 classes every score is the share of label 1, or 0; labels with null doc_id or null label are ignored, and of repeated
@@ -43,6 +44,7 @@ from loomgraph.storage import Stage
 ORDER, SYMBOL_BITS = 5, 5
 SYMBOLS = 1 << SYMBOL_BITS
 GRAMS = 1 << (ORDER * SYMBOL_BITS)
+CONTEXTS = GRAMS // SYMBOLS
 DISCOUNT = 0.75
 #: Orders up to this one are counted over all documents and shared by the classes.
 SHARED = 2
@@ -57,6 +59,9 @@ HIGH = 2.0
 #: Word pieces of at most so many rows, by count, are broadcast; more are joined by shuffle.
 BROADCAST_PIECES = 4_000_000
 
+#: Kinds of rows that are counted apart: by label, those that the logistic layer isn't fitted on, then those that it is.
+COUNTED = {"ordinary": 0, "toxic": 1, "more_ordinary": 3, "more_toxic": 4}
+
 _random = np.random.default_rng(20240301)
 _TABLE = _random.integers(0, 1 << 64, 256, np.uint64)
 _BASE = int(_random.integers(0, 1 << 63)) * 8 + 5
@@ -101,9 +106,9 @@ def own_spans(ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def counted(docs: DataFrame) -> Stage:
-    """(gram, ordinary, toxic) counts; grams of all rows of ``docs`` (text, kind: 0, 1 or other) have a row."""
+    """(gram, and counts of the kinds in COUNTED); grams of all rows of ``docs`` (text, kind) have a row."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("gram", pa.int32()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
+    schema = pa.schema([("gram", pa.int32()), *((c, pa.int64()) for c in COUNTED)])
 
     def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Sums of the held (gram, kind) codes, as one batch of each 2**16 grams."""
@@ -111,10 +116,10 @@ def counted(docs: DataFrame) -> Stage:
             return
         codes, n = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
         sums = np.bincount(n, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
-        gram, kind = (codes >> 2).astype(np.int32), codes & 3
+        gram, kind = (codes >> 3).astype(np.int32), codes & 7
         for i in range(0, gram.size, 1 << 16):
             part = slice(i, i + (1 << 16))
-            columns = [pa.array(gram[part]), *(pa.array(np.where(kind[part] == k, sums[part], 0)) for k in range(2))]
+            columns = [pa.array(gram[part]), *(pa.array(np.where(kind[part] == k, sums[part], 0)) for k in COUNTED.values())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +129,7 @@ def counted(docs: DataFrame) -> Stage:
                 continue
             found, _, ends = grams(binary(batch.column("text")))
             kinds = batch.column("kind").to_pylist()
-            parts = [found[s:e].astype(np.int64) << 2 | k for (s, e), k in zip(own_spans(ends), kinds, strict=True)]
+            parts = [found[s:e].astype(np.int64) << 3 | k for (s, e), k in zip(own_spans(ends), kinds, strict=True)]
             held.append(np.unique(np.concatenate(parts), return_counts=True))
             if len(held) >= 8 or sum(h[0].size for h in held) > 1 << 21:
                 codes, n = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
@@ -134,8 +139,8 @@ def counted(docs: DataFrame) -> Stage:
                     held = []
         yield from out(held)
 
-    rows = docs.select("text", "kind").mapInArrow(run, "gram int, ordinary long, toxic long")
-    sums = rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
+    rows = docs.select("text", "kind").mapInArrow(run, ", ".join(["gram int", *(f"{c} long" for c in COUNTED)]))
+    sums = rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTED])
     return Stage(sums, "grams")
 
 
@@ -156,29 +161,72 @@ def continuations(gram: np.ndarray, order: int) -> np.ndarray:
     return np.bincount(longer & ((1 << (order * SYMBOL_BITS)) - 1), minlength=1 << (order * SYMBOL_BITS))
 
 
-def ratio_table(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratios toxic to ordinary of all 5-grams, in steps of STEP (int8)."""
-    shared = np.full(SYMBOLS, 1 / SYMBOLS)
+def by_order(longest: np.ndarray) -> dict[int, np.ndarray]:
+    """:func:`continuations` of all orders below ORDER, from those of order ORDER - 1."""
+    found = {ORDER - 1: longest}
+    for order in range(ORDER - 2, 0, -1):
+        found[order] = (found[order + 1] > 0).reshape(SYMBOLS, -1).sum(axis=0)
+    return found
+
+
+def log_ratios(ordinary: np.ndarray, toxic: np.ndarray, lower: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log-likelihood ratios toxic to ordinary of all 5-grams with one first symbol, in steps of STEP (int8)."""
+    logs = [np.log(np.maximum(backed_off(n, prob), 1e-12)) for n, prob in zip((ordinary, toxic), lower, strict=True)]
+    return np.clip(np.rint((logs[1] - logs[0]) / STEP), -127, 127).astype(np.int8)
+
+
+def ratio_tables(counts: DataFrame) -> list[np.ndarray]:
+    """The log-likelihood ratios of all 5-grams: of the rows that the layer isn't fitted on, and of all labelled rows.
+
+    The driver gets continuation counts (at most CONTEXTS rows of 9 bytes) and the finished tables. Tables are made on
+    executors, one task for each first symbol, so none sees more than CONTEXTS counts.
+    """
+    classes = [F.col(c) for c in ("ordinary", "toxic")]
+    classes += [F.col(c) + F.col(f"more_{c}") for c in ("ordinary", "toxic")]
+    counts = counts.select("gram", *[c.alias(f"n{i}") for i, c in enumerate(classes)])
+    held = [f"n{i}" for i in range(len(classes))]
+    suffix = F.col("gram").bitwiseAND(F.lit(CONTEXTS - 1)).alias("suffix")
+    before = counts.groupBy(suffix).agg(F.count("*").cast("byte").alias("any"), *[F.count_if(F.col(c) > 0).cast("byte").alias(c) for c in held])
+    found = before.toArrow()
+    at = found.column("suffix").to_numpy()
+
+    def dense(name: str) -> dict[int, np.ndarray]:
+        out = np.zeros(CONTEXTS, np.int8)
+        out[at] = found.column(name).to_numpy()
+        return by_order(out)
+
+    shared, every = np.full(SYMBOLS, 1 / SYMBOLS), dense("any")
     for order in range(1, SHARED + 1):
-        shared = backed_off(continuations(gram, order), shared)
+        shared = backed_off(every[order], shared)
     lower = []
-    for n in (ordinary, toxic):
-        prob = shared
+    for name in held:
+        prob, own = shared, dense(name)
         for order in range(SHARED + 1, ORDER):
-            prob = backed_off(continuations(gram[n > 0], order), prob)
+            prob = backed_off(own[order], prob)
         lower.append(prob)
-    table = np.empty(GRAMS, np.int8)
-    size = GRAMS // SYMBOLS
-    for first in range(SYMBOLS):  # by first symbol, so that no probabilities of all 5-grams are held
-        here = gram // size == first
-        at = gram[here] % size
-        logs = []
-        for n, prob in zip((ordinary, toxic), lower, strict=True):
-            count = np.zeros(size)
-            count[at] = n[here]
-            logs.append(np.log(np.maximum(backed_off(count, prob), 1e-12)))
-        table[first * size : (first + 1) * size] = np.clip(np.rint((logs[1] - logs[0]) / STEP), -127, 127)
-    return table
+    probs = counts.sparkSession.sparkContext.broadcast(lower)  # 8 MB each
+
+    def ratios(columns: list[np.ndarray]) -> list[np.ndarray]:
+        return [log_ratios(*columns[i : i + 2], tuple(probs.value[i : i + 2])) for i in range(0, len(columns), 2)]
+
+    def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        place = rows.column("gram").to_numpy() & (CONTEXTS - 1)
+        columns = []
+        for name in held:
+            columns.append(np.zeros(CONTEXTS))
+            columns[-1][place] = rows.column(name).to_numpy()
+        made = [pa.array([r.tobytes()], pa.binary()) for r in ratios(columns)]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *made], names=["first", "fitting", "whole"])
+
+    first = F.shiftright("gram", (ORDER - 1) * SYMBOL_BITS).cast("int").alias("first")
+    made = counts.groupBy(first).applyInArrow(work, "first int, fitting binary, whole binary").toArrow()
+    tables = [np.tile(r, SYMBOLS) for r in ratios([np.zeros(CONTEXTS)] * len(held))]  # of first symbols without counts
+    for row in range(made.num_rows):
+        start = made.column("first")[row].as_py() * CONTEXTS
+        for table, name in zip(tables, ("fitting", "whole"), strict=True):
+            table[start : start + CONTEXTS] = np.frombuffer(made.column(name)[row].as_buffer(), np.int8)
+    probs.unpersist()
+    return tables
 
 
 def word_paths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +262,7 @@ def word_paths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame) -> Stage:
-    """(piece, parent, n_all, ordinary, toxic): words of ``docs`` (text, kind: 0, 1 or other) by piece."""
+    """(piece, parent, n_all, and counts of the kinds in COUNTED): words of ``docs`` (text, kind) by piece."""
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("piece", pa.int64()), ("parent", pa.int64()), ("kind", pa.int8()), ("n", pa.int64())])
 
@@ -231,7 +279,7 @@ def pieces(docs: DataFrame) -> Stage:
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {0: [], 1: [], 2: []}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {k: [] for k in range(5)}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -254,7 +302,7 @@ def pieces(docs: DataFrame) -> Stage:
 
     rows = docs.select("text", "kind").mapInArrow(run, "piece long, parent long, kind byte, n long")
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
-    sums = rows.groupBy("piece", "parent").agg(F.sum("n").alias("n_all"), of(0).alias("ordinary"), of(1).alias("toxic"))
+    sums = rows.groupBy("piece", "parent").agg(F.sum("n").alias("n_all"), *[of(k).alias(c) for c, k in COUNTED.items()])
     return Stage(sums, "pieces")
 
 
@@ -421,29 +469,30 @@ class Model:
         return mapped(docs if local else joined_ratios(docs, self.words), run, schema, columns if local else [*columns, "ratios"])
 
 
+def held_words(counts: DataFrame, most: int) -> Words | DataFrame:
+    """The ratios of the pieces: in memory if they are at most so many."""
+    ratios = Stage(word_ratios(counts), "word-ratios")
+    if ratios.df.count() > most:
+        return ratios.df
+    rows = ratios.df.toArrow()
+    ratios.drop()
+    piece, step, unseen = (rows.column(c).to_numpy() for c in ("piece", "step", "unseen"))
+    order = np.argsort(piece)
+    return Words(piece[order], step[order], unseen[order])
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast: int = BROADCAST_PIECES) -> Model:
     """The ratios and the logistic layer. Labels of rows with remainder 0 modulo ``folds`` are never read."""
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
     allowed = labels.filter(rest != 0)
     known = labelled(docs, allowed, "toxic")
-    counted_here = F.col("label").isNotNull() & (rest != folds - 1)
-    kinds = known.withColumn("kind", F.when(counted_here, F.least(F.greatest("label", F.lit(0)), F.lit(1))).otherwise(2))
+    toxic = F.least(F.greatest("label", F.lit(0)), F.lit(1))
+    kinds = known.withColumn("kind", F.when(F.col("label").isNull(), 2).when(rest == folds - 1, 3 + toxic).otherwise(toxic))
     counts = counted(kinds)
-    rows = counts.df.toArrow()  # at most GRAMS rows
+    tables = ratio_tables(counts.df)
     counts.drop()
-    gram, ordinary, toxic = (rows.column(c).to_numpy() for c in ("gram", "ordinary", "toxic"))
-    table = ratio_table(gram.astype(np.int64), ordinary, toxic)
     counts = pieces(kinds)
-    ratios = Stage(word_ratios(counts.df), "word-ratios")
-    counts.drop()
-    words: Words | DataFrame = ratios.df
-    if ratios.df.count() <= broadcast:
-        rows = ratios.df.toArrow()
-        ratios.drop()
-        piece, step, unseen = (rows.column(c).to_numpy() for c in ("piece", "step", "unseen"))
-        order = np.argsort(piece)
-        words = Words(piece[order], step[order], unseen[order])
-    model = Model(table, words)
+    model = Model(tables[0], held_words(counts.df, broadcast))
     own = known.filter(F.col("label").isNotNull() & (rest == folds - 1))
     n = max(1, own.count())
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -458,6 +507,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast: int = BRO
         model.layer = float(y.mean()) if y.size else 0.0
     else:
         model.layer = fit_logistic(np.array(found.column("x").to_pylist(), np.float64), y)
+    # the layer is fitted: its rows count for the ratios too
+    model.table = tables[1]
+    model.words = held_words(counts.df.withColumns({c: F.col(c) + F.col(f"more_{c}") for c in ("ordinary", "toxic")}), broadcast)
+    counts.drop()
     return model
 
 
