@@ -54,8 +54,8 @@ BROADCAST_LABELS = 500_000
 TOP = 3
 #: Bytes of the beginnings that words are compared by, and bytes of a word where scripts set no spaces.
 LENGTHS, WINDOW = (3, 6, 9, 12), 12
-#: A word is high from this log-likelihood ratio on.
-HIGH = 2.0
+#: Words are counted from these log-likelihood ratios on.
+HIGH = (2.0, 3.0, 4.0)
 #: Word pieces of at most so many rows, by count, are broadcast; more are joined by shuffle.
 BROADCAST_PIECES = 4_000_000
 
@@ -380,12 +380,12 @@ def joined_ratios(docs: DataFrame, table: DataFrame) -> DataFrame:
     return keyed.join(lists, "text_key", "left").drop("text_key")
 
 
-FEATURES = 1 + 2 * TOP + TOP + 3
+FEATURES = 1 + 2 * TOP + TOP + 1 + len(HIGH)
 
 
 def features(texts: list[bytes], table: np.ndarray, ratios: list[np.ndarray]) -> np.ndarray:
     """For each text: mean ratio per symbol, the highest TOP word sums, and the highest TOP means per symbol of a word;
-    of the ratios of its distinct words the highest TOP, the mean, the number of high ones and their sum (logarithms).
+    of the ratios of its distinct words the highest TOP, the mean, and how many are high (logarithms).
     """
     out = np.zeros((len(texts), FEATURES), np.float32)
     found, symbols, ends = grams(texts)
@@ -407,9 +407,9 @@ def features(texts: list[bytes], table: np.ndarray, ratios: list[np.ndarray]) ->
             out[i, 1 + TOP : 1 + TOP + k] = np.sort(np.partition(means, means.size - k)[-k:])[::-1]
     for i, r in enumerate(ratios):
         if r.size:
-            k, high = min(TOP, r.size), r[r >= HIGH]
+            k = min(TOP, r.size)
             out[i, 1 + 2 * TOP : 1 + 2 * TOP + k] = np.sort(np.partition(r, r.size - k)[-k:])[::-1]
-            out[i, 1 + 3 * TOP :] = r.mean(), np.log1p(high.size), np.log1p(high.sum())
+            out[i, 1 + 3 * TOP :] = r.mean(), *(np.log1p((r >= h).sum()) for h in HIGH)
     return out
 
 
