@@ -30,10 +30,11 @@ ignored; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,16 +176,14 @@ def log_ratios(ordinary: np.ndarray, toxic: np.ndarray, lower: tuple[np.ndarray,
     return np.clip(np.rint((logs[1] - logs[0]) / STEP), -127, 127).astype(np.int8)
 
 
-def ratio_tables(counts: DataFrame) -> list[np.ndarray]:
-    """The log-likelihood ratios of all 5-grams: of the rows that the layer isn't fitted on, and of all labelled rows.
+def ratio_table(counts: DataFrame) -> np.ndarray:
+    """The log-likelihood ratios of all 5-grams from :func:`counted` rows (gram, ordinary, toxic).
 
-    The driver gets continuation counts (at most CONTEXTS rows of 9 bytes) and the finished tables. Tables are made on
+    The driver gets continuation counts (at most CONTEXTS rows of 7 bytes) and the finished table. The table is made on
     executors, one task for each first symbol, so none sees more than CONTEXTS counts.
     """
-    classes = [F.col(c) for c in ("ordinary", "toxic")]
-    classes += [F.col(c) + F.col(f"more_{c}") for c in ("ordinary", "toxic")]
-    counts = counts.select("gram", *[c.alias(f"n{i}") for i, c in enumerate(classes)])
-    held = [f"n{i}" for i in range(len(classes))]
+    held = ["ordinary", "toxic"]
+    counts = counts.select("gram", *held)
     suffix = F.col("gram").bitwiseAND(F.lit(CONTEXTS - 1)).alias("suffix")
     before = counts.groupBy(suffix).agg(F.count("*").cast("byte").alias("any"), *[F.count_if(F.col(c) > 0).cast("byte").alias(c) for c in held])
     found = before.toArrow()
@@ -204,29 +203,29 @@ def ratio_tables(counts: DataFrame) -> list[np.ndarray]:
         for order in range(SHARED + 1, ORDER):
             prob = backed_off(own[order], prob)
         lower.append(prob)
-    probs = counts.sparkSession.sparkContext.broadcast(lower)  # 8 MB each
-
-    def ratios(columns: list[np.ndarray]) -> list[np.ndarray]:
-        return [log_ratios(*columns[i : i + 2], tuple(probs.value[i : i + 2])) for i in range(0, len(columns), 2)]
+    del found
+    pa.default_memory_pool().release_unused()
+    probs = counts.sparkSession.sparkContext.broadcast([p.astype(np.float32) for p in lower])  # 4 MB each
 
     def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         place = rows.column("gram").to_numpy() & (CONTEXTS - 1)
-        columns = []
-        for name in held:
-            columns.append(np.zeros(CONTEXTS))
-            columns[-1][place] = rows.column(name).to_numpy()
-        made = [pa.array([r.tobytes()], pa.binary()) for r in ratios(columns)]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *made], names=["first", "fitting", "whole"])
+        columns = [np.zeros(CONTEXTS), np.zeros(CONTEXTS)]
+        for column, name in zip(columns, held, strict=True):
+            column[place] = rows.column(name).to_numpy()
+        made = log_ratios(*columns, tuple(probs.value))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([made.tobytes()], pa.binary())], names=["first", "made"])
 
     first = F.shiftright("gram", (ORDER - 1) * SYMBOL_BITS).cast("int").alias("first")
-    made = counts.groupBy(first).applyInArrow(work, "first int, fitting binary, whole binary").toArrow()
-    tables = [np.tile(r, SYMBOLS) for r in ratios([np.zeros(CONTEXTS)] * len(held))]  # of first symbols without counts
+    made = counts.groupBy(first).applyInArrow(work, "first int, made binary").toArrow()
+    table = np.empty(GRAMS, np.int8)
+    table.reshape(SYMBOLS, -1)[:] = log_ratios(np.zeros(CONTEXTS), np.zeros(CONTEXTS), tuple(lower))  # for symbols without counts
     for row in range(made.num_rows):
         start = made.column("first")[row].as_py() * CONTEXTS
-        for table, name in zip(tables, ("fitting", "whole"), strict=True):
-            table[start : start + CONTEXTS] = np.frombuffer(made.column(name)[row].as_buffer(), np.int8)
-    probs.unpersist()
-    return tables
+        table[start : start + CONTEXTS] = np.frombuffer(made.column("made")[row].as_buffer(), np.int8)
+    probs.destroy()
+    del made
+    pa.default_memory_pool().release_unused()
+    return table
 
 
 def word_paths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -451,14 +450,23 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 class Model:
     """The 5-gram ratios, the word ratios (as a table where they are many) and the logistic layer, or a fixed score."""
 
-    table: np.ndarray
-    words: Words | DataFrame
+    table: np.ndarray | None
+    words: Words | DataFrame | None
     layer: Logistic | float = 0.0
+    sent: list[Broadcast] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drops the ratios, on executors too; results made with them must have been read."""
+        self.table = self.words = None
+        for held in self.sent:
+            held.destroy()
+        self.sent.clear()
 
     def features(self, docs: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray], dict], schema: str, columns: list[str]) -> DataFrame:
         """``work`` on batches of ``docs`` (``columns``, text among them) and the features of their texts."""
         local = isinstance(self.words, Words)
         held = docs.sparkSession.sparkContext.broadcast((self.table, self.words if local else None))
+        self.sent.append(held)
 
         def run(batch: pa.RecordBatch) -> dict:
             table, words = held.value
@@ -478,7 +486,10 @@ def held_words(counts: DataFrame, most: int) -> Words | DataFrame:
     ratios.drop()
     piece, step, unseen = (rows.column(c).to_numpy() for c in ("piece", "step", "unseen"))
     order = np.argsort(piece)
-    return Words(piece[order], step[order], unseen[order])
+    words = Words(piece[order], step[order], unseen[order])
+    del rows, piece, step, unseen
+    pa.default_memory_pool().release_unused()
+    return words
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast: int = BROADCAST_PIECES) -> Model:
@@ -488,11 +499,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast: int = BRO
     known = labelled(docs, allowed, "toxic")
     toxic = F.least(F.greatest("label", F.lit(0)), F.lit(1))
     kinds = known.withColumn("kind", F.when(F.col("label").isNull(), 2).when(rest == folds - 1, 3 + toxic).otherwise(toxic))
-    counts = counted(kinds)
-    tables = ratio_tables(counts.df)
-    counts.drop()
-    counts = pieces(kinds)
-    model = Model(tables[0], held_words(counts.df, broadcast))
+    by_gram, by_piece = counted(kinds), pieces(kinds)
+    model = Model(ratio_table(by_gram.df), held_words(by_piece.df, broadcast))
     own = known.filter(F.col("label").isNotNull() & (rest == folds - 1))
     n = max(1, own.count())
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -507,10 +515,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, broadcast: int = BRO
         model.layer = float(y.mean()) if y.size else 0.0
     else:
         model.layer = fit_logistic(np.array(found.column("x").to_pylist(), np.float64), y)
-    # the layer is fitted: its rows count for the ratios too
-    model.table = tables[1]
-    model.words = held_words(counts.df.withColumns({c: F.col(c) + F.col(f"more_{c}") for c in ("ordinary", "toxic")}), broadcast)
-    counts.drop()
+    # the layer is fitted: its rows count for the ratios too; the first ratios go before the driver gets the others
+    model.release()
+    whole = {c: F.col(c) + F.col(f"more_{c}") for c in ("ordinary", "toxic")}
+    model.table = ratio_table(by_gram.df.withColumns(whole))
+    model.words = held_words(by_piece.df.withColumns(whole), broadcast)
+    by_gram.drop()
+    by_piece.drop()
     return model
 
 
