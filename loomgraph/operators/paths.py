@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph
-from loomgraph.plans.superstep import MAX_SUPERSTEPS, Result, VertexProgram, run
+from loomgraph.plans.superstep import Result, VertexProgram, run
 
 
-def program(source: int, weighted: bool = False, max_supersteps: int = MAX_SUPERSTEPS) -> VertexProgram:
+def program(source: int, weighted: bool = False, max_supersteps: int | None = None) -> VertexProgram:
     """Distances from ``source``: hops, or sums of edge weights. Unreachable vertices have null.
 
-    Only vertices whose distance fell send on; any fall counts, however small.
+    Only vertices whose distance fell send on; any fall counts, however small. Paths have any number of edges: supersteps
+    go on until no distance falls, unless ``max_supersteps`` are given. A cycle of negative weight is an error.
     """
     return VertexProgram(
         init=F.when(F.col("id") == source, F.lit(0.0)),
@@ -25,10 +26,10 @@ def program(source: int, weighted: bool = False, max_supersteps: int = MAX_SUPER
     )
 
 
-def shortest_paths(graph: Graph, source: int = 1, weighted: bool = False, max_supersteps: int = MAX_SUPERSTEPS) -> Result:
+def shortest_paths(graph: Graph, source: int = 1, weighted: bool = False, max_supersteps: int | None = None) -> Result:
     return run(graph, program(source, weighted, max_supersteps))
 
 
-def breadth_first(graph: Graph, source: int = 1, max_supersteps: int = MAX_SUPERSTEPS) -> Result:
+def breadth_first(graph: Graph, source: int = 1, max_supersteps: int | None = None) -> Result:
     """Levels: the number of hops from the source."""
     return run(graph, program(source, False, max_supersteps))

@@ -5,6 +5,7 @@ A program is a set of column expressions; Catalyst plans each superstep as: acti
 Edges are dealt by source once and held, so a superstep shuffles vertices and combined messages only. New vertex states
 are written to the shared folder, which cuts lineage and survives lost executors; the same job observes how many
 vertices are active, the largest deviation and the number of messages, so a superstep is one job.
+Where only a few messages are sent, only the vertices that get one are looked up and written; the others stay as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import logging
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Literal
 
 import pandas as pd
@@ -29,6 +31,9 @@ log = logging.getLogger("loomgraph")
 MESSAGE_BYTES = 16
 MAX_SUPERSTEPS = 120
 TOLERANCE = 1e-4
+#: A frontier that sends no more messages is broadcast, and only what it reaches is written; after so many tables they are merged.
+FEW_MESSAGES = 100_000
+MAX_TABLES = 32
 
 METRICS = "step int, converged_pct double, residual double, least_residual double, messages long, bytes long, seconds double"
 
@@ -41,7 +46,7 @@ class VertexProgram:
     value (the source's), weight, out_degree and n. ``combine`` aggregates ``message`` per target. ``apply`` sees id,
     value (old), combined, n, and is used where messages arrived; elsewhere the value stays. ``cover`` puts its result
     in place of the old value, ``accu`` adds it. With ``frontier``, only vertices that changed by more than ``tolerance``
-    send.
+    send. Without ``max_supersteps`` a run goes on until no vertex is active; more supersteps than vertices are an error.
     """
 
     init: Column
@@ -53,7 +58,7 @@ class VertexProgram:
     update: Literal["cover", "accu"] = "cover"
     frontier: bool = False
     tolerance: float = TOLERANCE
-    max_supersteps: int = MAX_SUPERSTEPS
+    max_supersteps: int | None = MAX_SUPERSTEPS
 
 
 @dataclass(frozen=True)
@@ -133,7 +138,12 @@ def combined(sent: DataFrame, program: VertexProgram, n: int) -> DataFrame:
 
 def updated(vertices: DataFrame, got: DataFrame, program: VertexProgram, n: int) -> DataFrame:
     """Vertices with new values, whether they are active, and their deviation; untouched ids keep their value."""
-    joined = vertices.join(got, F.col("id") == F.col("dst"), "left").withColumn("n", F.lit(n))
+    return applied(vertices.join(got, F.col("id") == F.col("dst"), "left"), program, n)
+
+
+def applied(joined: DataFrame, program: VertexProgram, n: int) -> DataFrame:
+    """New values of vertices that are joined with what they got (dst is null where that is nothing)."""
+    joined = joined.withColumn("n", F.lit(n))
     reached = F.col("dst").isNotNull()
     fresh = program.apply if program.update == "cover" else F.coalesce("value", F.lit(0.0)) + program.apply
     moved = joined.withColumn("new", F.when(reached, fresh.cast("double")).otherwise(F.col("value")))
@@ -152,21 +162,60 @@ def superstep(edges: DataFrame, vertices: DataFrame, program: VertexProgram, n:
 # ---- the loop -------------------------------------------------------------------------------------------------------
 
 
+class States:
+    """Vertex states: a table of all vertices, and the rows that each superstep since has touched."""
+
+    def __init__(self, every: Stage):
+        self.tables = [every]
+
+    def frontier(self) -> DataFrame:
+        return self.tables[-1].df.filter("active")
+
+    def versions(self) -> DataFrame:
+        """(id, out_degree, value, active, version) with the states of touched vertices before."""
+        each = [t.df.select("id", "out_degree", "value", "active", F.lit(k).alias("version")) for k, t in enumerate(self.tables)]
+        return reduce(DataFrame.unionByName, each)
+
+    def merged(self) -> DataFrame:
+        """All vertices, of one table from now on; active are those that the last superstep left so."""
+        if len(self.tables) > 1:
+            last = F.max_by(F.struct("out_degree", "value", "active", "version"), "version").alias("s")
+            latest = self.versions().groupBy("id").agg(last).select("id", "s.*")
+            active = F.col("active") & (F.col("version") == len(self.tables) - 1)
+            self.replace(Stage(latest.select("id", "out_degree", "value", active.alias("active")), "vertices"))
+        return self.tables[0].df
+
+    def replace(self, every: Stage) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables = [every]
+
+    def touched(self, edges: DataFrame, program: VertexProgram, n: int) -> DataFrame:
+        """A superstep of a small frontier: the new states of the vertices that get messages."""
+        got = combined(messages(edges, F.broadcast(self.frontier())), program, n)
+        near = self.versions().join(F.broadcast(got), F.col("id") == F.col("dst"))
+        latest = near.groupBy("id", "dst").agg(F.max_by(F.struct("out_degree", "value"), "version").alias("s"), F.first("combined").alias("combined"))
+        return applied(latest.select("id", "dst", "s.*", "combined"), program, n)
+
+
 def run(graph: Graph, program: VertexProgram) -> Result:
     """Supersteps until no vertex is active or ``max_supersteps`` are done."""
     began = time.monotonic()
     held_graph = graph.partitioned()
     n = held_graph.vertices.count()
-    state = Stage(initial(held_graph, program, n), "vertices")
+    states = States(Stage(initial(held_graph, program, n), "vertices"))
     every = held_graph.edges.count() if not program.frontier else None
     metrics: list[dict] = []
     sending = every
     if program.frontier:
-        sending = state.df.agg(F.coalesce(F.sum(F.when(F.col("active"), F.col("out_degree"))), F.lit(0))).first()[0]
+        sending = states.merged().agg(F.coalesce(F.sum(F.when(F.col("active"), F.col("out_degree"))), F.lit(0))).first()[0]
     converged, least = False, float("inf")
-    for step in range(1, program.max_supersteps + 1):
+    for step in range(1, (n + 1 if program.max_supersteps is None else program.max_supersteps) + 1):
         seen = Observation()
-        plan = superstep(held_graph.edges, state.df, program, n)
+        few = program.frontier and sending <= FEW_MESSAGES
+        if not few or len(states.tables) == MAX_TABLES:
+            states.merged()
+        plan = states.touched(held_graph.edges, program, n) if few else superstep(held_graph.edges, states.merged(), program, n)
         watched = plan.observe(
             seen,
             F.count_if("active").alias("active"),
@@ -175,8 +224,10 @@ def run(graph: Graph, program: VertexProgram) -> Result:
         )
         new = Stage(watched, "vertices")
         got = seen.get
-        state.drop()
-        state = new
+        if few:
+            states.tables.append(new)
+        else:
+            states.replace(new)
         least = min(least, got["residual"] or 0.0)
         metrics.append(
             {
@@ -195,8 +246,11 @@ def run(graph: Graph, program: VertexProgram) -> Result:
             converged = True
             break
         sending = every if every is not None else (got["next"] or 0)
+    if program.max_supersteps is None and not converged:
+        raise RuntimeError(f"values still change after {n} supersteps: a cycle goes on changing them")
+    vertices = states.merged()
     held_graph.edges.unpersist()
-    return Result(state.df.select("id", "value", "active"), metrics, converged)
+    return Result(vertices.select("id", "value", "active"), metrics, converged)
 
 
 def totals(result: Result) -> dict:

@@ -69,6 +69,23 @@ def test_weighted_paths_triangle_inequality(spark):
     assert all(d[b] <= d[a] + w for a, b, w in rows if d[a] is not None)
 
 
+def test_paths_longer_than_any_cap(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW_MESSAGES", 2)  # wide at first: states of all vertices, then only those touched
+    far = [(i, i + 1) for i in range(1, 130)] + [(1, 200), (1, 201), (200, 2)]
+    g = graph(spark, far, 201)
+    out = paths.breadth_first(g, 1)
+    expected = {i: i - 1 if i <= 130 else None for i in range(1, 202)} | {200: 1, 201: 1}
+    assert column(out.vertices) == expected and out.converged and len(out.metrics) == 130
+    assert column(paths.shortest_paths(g, 1, weighted=True).vertices) == expected
+    assert not paths.breadth_first(g, 1, max_supersteps=5).converged
+
+
+def test_negative_cycle_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 2, 1.0), (2, 1, -2.0)], "src long, dst long, weight double")
+    with pytest.raises(RuntimeError):
+        paths.shortest_paths(Graph.from_edges(rows), 1, weighted=True)
+
+
 def test_triangles_ten(spark):
     got = column(triangles.triangle_counts(graph(spark, TEN, 10, True)), "triangles")
     assert got == {1: 2} | dict.fromkeys(range(2, 11), 0)
