@@ -226,21 +226,25 @@ class Candidates:
             fresh = fresh.join(reduce(DataFrame.union, [t.df for t in self.tried]), ["a", "b"], "left_anti")
         now = Stage(fresh, "pairs")
         self.tried.append(now)
-        ids = Stage(now.df.select(F.col("a").alias("id")).union(now.df.select("b")).distinct(), "pair-ids")
-        signs = only(self.signs, ids.df)
+        ids, held = now.df.select(F.col("a").alias("id")).union(now.df.select("b")), None
+        if now.df.count() > BROADCAST_IDS // 2:  # fewer are broadcast as they are
+            held = Stage(ids.distinct(), "pair-ids")
+            ids = held.df
+        signs = only(self.signs, ids)
         both = now.df.join(signs.withColumnsRenamed({"id": "a", "sketch": "sa", "bands": "ba"}), "a").join(
             signs.withColumnsRenamed({"id": "b", "sketch": "sb", "bands": "bb"}), "b"
         )
         banded = both.filter(F.arrays_overlap("ba", "bb"))
         likely = Stage(banded.filter(differing(F.col("sa"), F.col("sb")) <= most_bits(self.percent)).select("a", "b"), "likely")
-        sets = only(self.sets, ids.df)
+        sets = only(self.sets, ids)
         a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
         b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
         met = likely.df.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("xa", "xb")))
         linked = met.filter(100 * F.col("both") >= self.percent * (F.size("xa") + F.size("xb") - F.col("both")))
         self.links.append(Stage(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links"))
         likely.drop()
-        ids.drop()
+        if held:
+            held.drop()
 
     def components(self) -> Stage:
         """Components of all links; from then on, links to each component's least vertex stand for them."""
